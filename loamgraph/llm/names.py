@@ -73,6 +73,7 @@ def _words(text: str, person: bool) -> tuple[list[str], bool]:
     text = "".join(c for c in text if not unicodedata.combining(c))
     text = re.sub(r"\([^)]*\)", " ", text)
     text = re.sub(r"\b(?:[A-Za-z]\.){2,}", lambda m: m[0].replace(".", "") + " ", text) if not person else text
+    text = re.sub(r"(?<=[a-z])and(?=[A-Z])", " and ", text)
     text = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", text) if not re.search(r"\s", text.strip()) else text
     text = re.sub(r"\b([A-Za-z])&([A-Za-z])\b", lambda m: {"r&d": "research design", "m&f": "marine freight"}.get(m[0].lower(), m[0]), text)
     out = []
@@ -205,7 +206,7 @@ def _formal(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             else:
                 entity = " ".join(first) or "?" + spelling
                 if len(words) > 1 and any(len(o) > 1 for o in options):
-                    loose = [" ".join(sorted([*first[:0], *(x for j, x in enumerate(o[0] for o in options) if j != i), v])) for i, o in enumerate(options) if len(o) > 1 for v in o]
+                    loose = [" ".join(sorted([*(x for j, x in enumerate(o[0] for o in options) if j != i), v])) for i, o in enumerate(options) if len(o) > 1 for v in o]
             rows.append((kind, spelling, entity, loose, n))
         yield pd.DataFrame(rows, columns=["kind", "spelling", "entity", "loose", "n"])
 
