@@ -6,7 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import cut, table
-from . import names, reading, repeats
+from . import names, neighbours, reading, repeats
+
+
+#: Relaxation of the triangle inequality. For near copies (cosine 0.90) a small band loses next to nothing, because a pair is
+#: lost only if the search fails from both ends; for the 10 nearest of anything the band must be wider (README: recall).
+NEAR_FACTOR, KNN_FACTOR = 0.1, 0.2
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of cosine 0.90 or more of which one is among the 10 nearest of the other."""
+    hit = neighbours.similar(table(spark, d, "graph_nodes"), 10, NEAR_FACTOR, min_cosine=0.90)
+    return hit.select(F.least("id", "neighbour").alias("node_id_a"), F.greatest("id", "neighbour").alias("node_id_b")).distinct()
+
+
+def p2_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The 10 most similar nodes of every node whose id is divisible by 20, among all nodes."""
+    hit = neighbours.similar(table(spark, d, "graph_nodes"), 10, KNN_FACTOR, ask=F.col("id") % 20 == 0)
+    return hit.select("id", "neighbour", F.col("rank").cast("bigint").alias("rank"), F.round("cosine", 4).alias("cosine"))
 
 
 def _people(spark: SparkSession, d: str) -> DataFrame:
@@ -69,7 +86,7 @@ def p9_profile(spark: SparkSession, d: str) -> DataFrame:
     return got.groupBy("source").agg(*[F.count(F.when(F.col("reading_level") == k, 1)).alias(f"n_level_{k}") for k in reading.LEVELS], F.round(F.avg("reading_level"), 4).alias("mean_level"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_classes": p3_classes, "p6_found": p6_found, "p6_batches": p6_batches, "p6_checks": p6_checks, "p9_found": p9_found, "p9_profile": p9_profile}
+QUERIES = {"p2_found": p2_found, "p2_nearest": p2_nearest, "p3_found": p3_found, "p3_classes": p3_classes, "p6_found": p6_found, "p6_batches": p6_batches, "p6_checks": p6_checks, "p9_found": p9_found, "p9_profile": p9_profile}
 SQL = {
     "p6_checks": """with seen as (select distinct sha256(text) as h from ingest_requests where batch_no = 0 and text is not null),
       asked as (select distinct check_id, lower(regexp_extract(x, '([0-9A-Fa-f]{64})', 1)) as h from (select check_id, unnest(hashes) as x from hash_checks)),
