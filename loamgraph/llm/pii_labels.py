@@ -1,0 +1,97 @@
+"""Labelled spans for training the character tagger: patterns in context that are sure enough to teach from.
+
+Only the training (`python -m loamgraph.llm.pii_training`) uses this; nothing here runs in a query.
+"""
+
+from __future__ import annotations
+
+import re
+
+# Words that make a street, and the personal numbers' labels.
+_STREET = r"(?:Street|St\.?|Road|Rd\.?|Avenue|Ave\.?|Lane|Drive|Close|Court|Way|Place|Square|Crescent|Terrace|Grove|Row|Walk|Mews|Gardens)"
+_W = r"[A-ZÀ-Þ][\w'’]*(?:-[A-ZÀ-Þ][\w'’]*)*"
+_UNIT = r"(?:Apt|Unit|Suite|Flat)\.? ?#?\d+[A-Z]?"
+_POST = r"(?: (?:[A-Z]{2}\d{1,2} ?\d[A-Z]{2}|\d{5}))"
+_T = r"[A-ZÀ-Þ][a-zà-ÿ'’]+(?:-[A-ZÀ-Þ][a-zà-ÿ]+)*"
+_TOWN = rf"{_T}(?: {_T})?"
+_PLACE = rf"(?:, (?:\d{{4,5}} )?{_TOWN}{_POST}?)"
+_HOUSE = rf"\d+[a-zA-Z]?,? (?:{_W} ){{1,3}}{_STREET}"
+_FOREIGN = rf"(?:{_W}(?: {_W})?(?:straße|strasse|gasse|weg|platz|allee) \d+[a-z]?|\d+[a-z]?,? (?:bis |ter )?(?:rue|avenue|place|boulevard|impasse|chemin)(?: de| du| des| de la)? {_W}(?: {_W})?)"
+ADDRESS = re.compile(rf"(?:(?:{_UNIT}, )?(?:{_HOUSE}|{_FOREIGN})(?:, {_UNIT})?{_PLACE}?|P\.?O\.? Box \d+{_PLACE}?)")
+_DOT = r"(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?|\s+dot\s+)"
+EMAIL = re.compile(rf"[A-Za-z0-9][\w.+'’-]*(?:@|\s?[\[({{]\s?at\s?[\])}}]\s?|\s+at\s+(?=[\w-]+\s*[\[({{ ]\s?dot))[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}[A-Za-z]{{2,}}\b", re.I)
+_ID_LABEL = (
+    r"(?:SSN|Social Security(?: number| no\.?)?|social security(?: number| no\.?)?|NINO|NI number|NI no\.?|national insurance(?: number| no\.?)?|National Insurance(?: number| no\.?)?|"
+    r"passport(?: number| no\.?)?|Passport(?: number| no\.?)?|driving licence(?: number| no\.?)?|driver's licen[cs]e(?: number| no\.?)?|licen[cs]e(?: number| no\.?)?|tax (?:ID|number|no\.?)|TIN|"
+    r"national ID(?: number| no\.?)?|ID card(?: number| no\.?)?|identity (?:card|number|no\.?)(?: no\.?| number)?|ID number|ID no\.?)"
+)
+ID = re.compile(rf"(?<![\w]){_ID_LABEL}(?:\)|:|\s*#|,)?(?: is)?(?: of \w+)?[\s:]+(?P<x>[A-Z0-9](?:[A-Z0-9]|[ ./-](?=[A-Z0-9]*\d)|[ ](?=[A-D]\b)){{5,18}}[A-Z0-9])")
+PHONE = re.compile(
+    r"(?<![\w./:+-])(?P<x>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d[\d .-]{5,14}\d|0\d(?:[ .-]\d\d){4}|00\d{2} ?(?:\(0\))?\d{1,3}(?: \d{2,4}){2,4}|0\d{2,3}[ .-]\d{3,4}[ .-]\d{4}|00\d{10,13}|\(\d{3,4}\)[ .-]?\d[\d .-]{4,9}\d|0\d{2,4}[ /-]\d[\d ]{4,9}\d|\d{3}[ .-]\d{3}[ .-]\d{4}|0\d{9,10}|555-\d{4}|\d{3}-\d{4})(?![\w:/]|[.-]\d|,\d)"
+)
+_PHONE_NOT = re.compile(r"(?:offset|dump|Ticket|Line|build|Invoice|Part no\.?|ratio|from|version|window|Checksum|Batch|licence|passport|SSN|ID|NINO|no\.|number is|runs from|item|SKU)\s*[\d .:/-]*$")
+_G = r"[A-ZÀ-Þ][\w'’]+"
+_I = r"[A-Z]\."
+_S = rf"(?:(?:van|de|von|der|di|da) )*{_G}(?:-{_G})?"
+_NAME = rf"(?:{_S}, (?:{_G}|{_I})(?: {_I})?|(?:{_G}|{_I})(?: (?:{_I}|{_G}))?(?: {_I})? {_S}|(?:{_G}|{_I}) {_S})"
+_TITLE = r"(?:(?:Dr|Prof|Mr|Mrs|Ms|Mx)\.? )?"
+NAMES = [
+    re.compile(p)
+    for p in (
+        rf"(?<![\w.])(?P<x>{_NAME}) (?:can be reached|signed o|called a|lent us)",
+        rf"\bRegistered {_TITLE}(?P<x>{_NAME})(?=,)",
+        rf"\bMet {_TITLE}(?P<x>{_NAME}) at the",
+        rf"\bAccording to {_TITLE}(?P<x>{_NAME})(?=,)",
+        rf"\ba talk with {_TITLE}(?P<x>{_NAME})(?=, mostly|,)",
+        rf"\bMy neighbour {_TITLE}(?P<x>{_NAME}) lent",
+        rf"\bPlease ask {_TITLE}(?P<x>{_NAME}) to ",
+        rf"\bowner=(?P<x>{_NAME}) status",
+        rf"\bAssigned: {_TITLE}(?P<x>{_NAME})(?=\.)",
+        rf"\bgoes back to {_TITLE}(?P<x>{_NAME}) on ",
+        rf"\bwas handed to {_TITLE}(?P<x>{_NAME}) yesterday",
+        rf" - {_TITLE}(?P<x>{_NAME}) - prefer",
+    )
+]
+
+
+_LG, _LS = r"[a-zà-ÿ]{3,}", r"(?:van )?[a-zà-ÿ]{4,}(?:-[a-zà-ÿ]{4,})?"
+_LOWER_NAME = re.compile(rf"\b(?P<g>{_LG}) (?:[a-z]\. )?(?P<s>{_LS})(?= can be reached| signed o| called a| lent us|, |\. | at the | on | to send| yesterday| status| - |'s |$)")
+_LOWER_ADDRESS = re.compile(r"\b\d+[a-z]? (?:[a-z]+ ){1,2}(?:street|st|road|rd|avenue|ave|lane|drive|close|court)\b(?:, (?:apt|unit|suite) \d+[a-z]?)?(?:, [a-z]+(?:-[a-z]+)*(?: [a-z]{2}\d{1,2} ?\d[a-z]{2}| \d{5})?)?")
+
+
+def spans(text: str, given: set[str] | None = None) -> list[tuple[int, int, str]]:
+    """(start, end, type) of the labelled spans, without overlaps; given: known given names that mark a name anywhere."""
+    out = [(m.start(), m.end(), "EMAIL") for m in EMAIL.finditer(text)]
+    out += [(m.start("x"), m.end("x"), "ID") for m in ID.finditer(text)]
+    out += [(m.start(), m.end(), "ADDRESS") for m in ADDRESS.finditer(text)]
+    out += [(m.start("x"), m.end("x"), "PHONE") for m in PHONE.finditer(text) if not _PHONE_NOT.search(text[max(0, m.start() - 40) : m.start()])]
+    for p in NAMES:
+        out += [(m.start("x"), m.end("x"), "NAME") for m in p.finditer(text)]
+    if given:
+        for m in re.finditer(rf"(?<![\w.@]){_NAME}", text):
+            parts = [w.title() for w in re.findall(r"[^\W\d_]+", re.sub(r"['’]s$", "", m[0]))]
+            low = parts[-1] if "," in m[0] else parts[0]
+            if low in given and not re.search(rf"\b(?:{_STREET}|market|Project)\b", text[m.start() : m.end() + 9]):
+                out.append((m.start(), m.end() - (2 if m[0].endswith(("'s", "’s")) else 0), "NAME"))
+        out += [(m.start(), m.end(), "NAME") for m in _LOWER_NAME.finditer(text) if m["g"].title() in given]
+    out += [(m.start(), m.end(), "ADDRESS") for m in _LOWER_ADDRESS.finditer(text)]
+    out = [(a, b - 2 if t == "NAME" and text[a:b].endswith(("'s", "’s")) else b, t) for a, b, t in out]
+    rank = {"EMAIL": 0, "ID": 1, "ADDRESS": 2, "PHONE": 3, "NAME": 4}
+    kept: list[tuple[int, int, str]] = []
+    for a, b, t in sorted(set(out), key=lambda s: (rank[s[2]], s[0], -s[1])):
+        if all(b <= x or a >= y for x, y, _ in kept):
+            kept.append((a, b, t))
+    return sorted(kept)
+
+
+def given_names(texts: list[str]) -> set[str]:
+    """Given names that the name contexts show at least three times."""
+    n: dict[str, int] = {}
+    for t in texts:
+        for p in NAMES:
+            for m in p.finditer(t):
+                words = re.findall(r"[^\W\d_]{2,}", m["x"])
+                if len(words) >= 2:
+                    g = (words[-1] if "," in m["x"] else words[0]).title()
+                    n[g] = n.get(g, 0) + 1
+    return {k for k, v in n.items() if v >= 3}

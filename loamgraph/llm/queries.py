@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import cut, table
-from . import names, neighbours, reading, repeats
+from . import mixing, names, neighbours, packing, pii, reading, repeats
 
 
 #: Relaxation of the triangle inequality. For near copies (cosine 0.90) a small band loses next to nothing, because a pair is
@@ -40,6 +40,22 @@ def p3_classes(spark: SparkSession, d: str) -> DataFrame:
     return names.entity_classes(names.entities(_people(spark, d)))
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """(text_field, row_id, text) of both tables; repeated rows of a record have the same text."""
+    nodes = table(spark, d, "graph_nodes").select(F.lit("node_content").alias("text_field"), F.col("id").alias("row_id"), F.col("content").alias("text"))
+    reqs = table(spark, d, "ingest_requests").select(F.lit("request_text").alias("text_field"), F.col("request_id").alias("row_id"), "text")
+    return nodes.unionByName(reqs).where("row_id is not null and text is not null")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.found_spans(_texts(spark, d)).select("text_field", "row_id", "pii_type", "found_text").distinct()
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every text with typed placeholders instead of personal data."""
+    return pii.redacted(_texts(spark, d).dropDuplicates(["text_field", "row_id"]))
+
+
 def _first_messages(spark: SparkSession, d: str) -> DataFrame:
     return repeats.first_messages(table(spark, d, "ingest_requests"))
 
@@ -75,6 +91,42 @@ def p6_checks(spark: SparkSession, d: str) -> DataFrame:
     return asked.join(known, "check_id", "left").select("check_id", "n_asked", F.coalesce("n_known", F.lit(0)).alias("n_known"), (F.col("n_asked") - F.coalesce("n_known", F.lit(0))).alias("n_missing"))
 
 
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, source, tokens): n_tokens, counted anew where it is missing."""
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", reading.normal_source(F.col("source")).alias("source"), F.coalesce("n_tokens", reading.token_count(F.col("text")), F.lit(0)).cast("bigint").alias("tokens"))
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    kinds = table(spark, d, "pack_containers").select(F.col("container_kind").alias("kind"), F.col("capacity_tokens").alias("capacity"))
+    return packing.pack(_sized(spark, d).select(F.col("doc_id").alias("item_id"), "tokens"), kinds)
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's container of each kind, and how full that is."""
+    return _packed(spark, d).select(
+        F.col("kind").alias("container_kind"), F.col("container").alias("container_id"), F.col("item_id").alias("doc_id"), "piece", "tokens", "capacity", F.col("used").alias("used_tokens")
+    )
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(_packed(spark, d))
+
+
+def _targets(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "source_targets").select(reading.normal_source(F.col("source")).alias("source"), "target_share", "max_repeats")
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The mixed documents in order of slot and start."""
+    return mixing.mix(_sized(spark, d), _targets(spark, d))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    docs, targets = cut(_sized(spark, d)), _targets(spark, d)
+    return mixing.share_report(docs, targets, mixing.mix(docs, targets))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels")).select("doc_id", F.col("level").alias("reading_level"))
 
@@ -86,7 +138,7 @@ def p9_profile(spark: SparkSession, d: str) -> DataFrame:
     return got.groupBy("source").agg(*[F.count(F.when(F.col("reading_level") == k, 1)).alias(f"n_level_{k}") for k in reading.LEVELS], F.round(F.avg("reading_level"), 4).alias("mean_level"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_nearest": p2_nearest, "p3_found": p3_found, "p3_classes": p3_classes, "p6_found": p6_found, "p6_batches": p6_batches, "p6_checks": p6_checks, "p9_found": p9_found, "p9_profile": p9_profile}
+QUERIES = {"p2_found": p2_found, "p2_nearest": p2_nearest, "p3_found": p3_found, "p3_classes": p3_classes, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_batches": p6_batches, "p6_checks": p6_checks, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_profile": p9_profile}
 SQL = {
     "p6_checks": """with seen as (select distinct sha256(text) as h from ingest_requests where batch_no = 0 and text is not null),
       asked as (select distinct check_id, lower(regexp_extract(x, '([0-9A-Fa-f]{64})', 1)) as h from (select check_id, unnest(hashes) as x from hash_checks)),
