@@ -49,13 +49,15 @@ NAMES = [
         rf"\bAssigned: {_TITLE}(?P<x>{_NAME})(?=\.)",
         rf"\bgoes back to {_TITLE}(?P<x>{_NAME}) on ",
         rf"\bwas handed to {_TITLE}(?P<x>{_NAME}) yesterday",
+        rf"(?<![\w.])(?P<x>{_NAME})(?=['’]s [a-z ]+ is overdue)",
+        rf"(?<![\w.])(?P<x>{_NAME}) and the [a-z ]+ looked",
         rf" - {_TITLE}(?P<x>{_NAME}) - prefer",
     )
 ]
 
 
 _LG, _LS = r"[a-zà-ÿ]{3,}", r"(?:van )?[a-zà-ÿ]{4,}(?:-[a-zà-ÿ]{4,})?"
-_LOWER_NAME = re.compile(rf"\b(?P<g>{_LG}) (?:[a-z]\. )?(?P<s>{_LS})(?= can be reached| signed o| called a| lent us|, |\. | at the | on | to send| yesterday| status| - |'s |$)")
+_LOWER_NAME = re.compile(rf"\b(?P<g>{_LG}) (?:[a-z]\. )?(?P<s>{_LS})(?= can be reached| signed o| called a| lent us|, |\. | at the | on | to send| yesterday| status| - |'s | and the |$)")
 _LOWER_ADDRESS = re.compile(r"\b\d+[a-z]? (?:[a-z]+ ){1,2}(?:street|st|road|rd|avenue|ave|lane|drive|close|court)\b(?:, (?:apt|unit|suite) \d+[a-z]?)?(?:, [a-z]+(?:-[a-z]+)*(?: [a-z]{2}\d{1,2} ?\d[a-z]{2}| \d{5})?)?")
 
 

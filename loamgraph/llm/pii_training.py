@@ -18,7 +18,7 @@ from . import pii
 from .pii import LABELS, SYMBOLS, TYPES
 from .pii_labels import given_names, spans
 
-HIDDEN, NEGATIVES, COPIES = 32, 2, 4
+HIDDEN, NEGATIVES, COPIES = 32, 2, 6
 
 
 def plain_words(texts: list[str], labelled: list[list[tuple[int, int, str]]], least: int = 5) -> frozenset[str]:
