@@ -2,22 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import hierarchy as H
 from ..operators import references as R
 from ..runtime import cut, table
-
-
-def latest(df: DataFrame, key: str, at: str) -> DataFrame:
-    """The row with the latest `at` per key (nulls first); max_by over a struct combines before the shuffle."""
-    cols = df.columns
-    order = F.struct(F.col(at).isNotNull().alias("k"), F.col(at).alias("t"))
-    plain = [c for c, t in df.dtypes if not t.startswith("map")]
-    whole = F.struct(*[F.col(c) for c in cols])
-    tie = F.xxhash64(*plain)
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(whole, F.struct(order, tie)).alias("row")).select("row.*")
+from ..views import latest
 
 
 def records(spark: SparkSession, d: str) -> DataFrame:
