@@ -6,6 +6,7 @@ import json
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 
 def _canon(text: str | None) -> str | None:
@@ -15,7 +16,7 @@ def _canon(text: str | None) -> str | None:
         return None
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def canonical_json(text: pd.Series) -> pd.Series:
     """The canonical form of a JSON text; null for null and for what is no JSON."""
     return text.map(_canon)

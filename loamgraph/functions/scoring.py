@@ -22,7 +22,8 @@ def at(as_of: str) -> Column:
 
 def hours_since(ts: Column, as_of: str) -> Column:
     """Hours from ts to as_of, 0 if ts is later; null stays null."""
-    return F.greatest((F.unix_micros(at(as_of)) - F.unix_micros(ts)) / F.lit(3.6e9), F.lit(0.0))
+    h = (F.unix_micros(at(as_of)) - F.unix_micros(ts)) / F.lit(3.6e9)
+    return F.when(h.isNotNull(), F.greatest(h, F.lit(0.0)))
 
 
 def recency(ts: Column, as_of: str, half_life: float = HALF_LIFE_HOURS) -> Column:
@@ -62,7 +63,7 @@ def supersession(is_target: Column, is_source: Column) -> Column:
 def reinforced(weight: Column, delta: float = REINFORCE_DELTA, ceiling: float = WEIGHT_CEILING) -> Column:
     """least(w + delta / (1 + 5 (w - 1)), ceiling). The divisor is not positive for w <= 0.8: such weights grow by delta."""
     slow = 1 + (weight - 1) * 5
-    return F.least(weight + F.when(slow > 0, delta / slow).otherwise(delta), F.lit(ceiling))
+    return F.least(weight + F.when(slow > 1e-9, delta / slow).otherwise(delta), F.lit(ceiling))
 
 
 def decayed(weight: Column, factor: float, floor: float = WEIGHT_FLOOR) -> Column:

@@ -234,5 +234,5 @@ SQL = {
     "x26_idempotent": sql("n", _MEN + "select count(*) as n_facts, count(*) as n_different from ft"),
     "x28_conflicts": sql("n", _MEN + "select entity, property, count(*) as n_values from ft group by 1, 2 having count(*) > 1"),
     "x3_embedding": sql("n", "select id, (coalesce(len(embedding), 0) <> 64) and (id % 500 in (select vec_id from embeddings)) as replaced from n"),
-    "n7_reinforced": sql("e", "select graph_name, round(sum(case when type_id = 101 then least(weight + case when 1 + (weight - 1) * 5 > 0 then 0.05::double / (1 + (weight - 1) * 5) else 0.05::double end, 1.5) else weight end), 1) as weight from e where weight is not null group by 1"),
+    "n7_reinforced": sql("e", "select graph_name, round(sum(case when type_id = 101 then least(weight + case when 1 + (weight - 1) * 5 > 1e-9 then 0.05::double / (1 + (weight - 1) * 5) else 0.05::double end, 1.5) else weight end), 1) as weight from e where weight is not null group by 1"),
 }

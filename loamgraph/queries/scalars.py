@@ -217,8 +217,8 @@ QUERIES = {k: f for k, f in list(globals().items()) if k[0] in "mvtdap" and (k[1
 QUERIES["pj2_json_path"] = QUERIES.pop("p2_json_path")
 QUERIES["pj3_canonical_json"] = QUERIES.pop("p3_canonical_json")
 QUERIES["pj1_map_merge"] = QUERIES.pop("p_map_merge")
-_HRS = f"greatest((epoch_us(timestamp '{AS_OF}') - epoch_us({{0}})) / 3.6e9::double, 0.0)"
-REC = f"pow(2.0::double, -{_HRS} / 168.0)"
+_HRS = f"case when {{0}} is not null then greatest((epoch_us(timestamp '{AS_OF}') - epoch_us({{0}})) / 3.6e9::double, 0.0) end"
+REC = f"pow(2.0::double, -({_HRS}) / 168.0)"
 ACT = f"(1 / (1 + exp(-(ln(pow(coalesce(access_count, 0)::double, 0.5) + 1) - 0.5 * ln(coalesce({_HRS.format('last_accessed_at')}, 0.0) + 1)))))"
 _CLEAN = "trim(regexp_replace({0}, '[^A-Za-z0-9_ \\-]', '', 'g'))"
 _SLUG = "trim(regexp_replace(lower(trim({0})), '[^a-z0-9]+', '_', 'g'), '_')"
@@ -235,7 +235,7 @@ SQL = {
       select id, id in (select target_id from x where target_id is not null) as is_target, id in (select source_id from x where source_id is not null) as is_source,
         case when id in (select target_id from x where target_id is not null) then 0.5::double when id in (select source_id from x where source_id is not null) then 1.2::double else 1.0::double end as factor from ids"""),
     "m6_consolidation": sql("ep", "select id, case when id in (select request_id from ingest_results where status = 'stored') then 0.5::double else 1.3::double end as factor from ep"),
-    "m8_reinforced": sql("e", "select id, graph_name, round(least(weight + case when 1 + (weight - 1) * 5 > 0 then 0.05::double / (1 + (weight - 1) * 5) else 0.05::double end, 1.5::double), 6) as weight from e where weight is not null"),
+    "m8_reinforced": sql("e", "select id, graph_name, round(least(weight + case when 1 + (weight - 1) * 5 > 1e-9 then 0.05::double / (1 + (weight - 1) * 5) else 0.05::double end, 1.5::double), 6) as weight from e where weight is not null"),
     "m9_micro_decay": sql("e", f"select id, graph_name, round(case when last_reinforced_at >= timestamp '{AS_OF}' - interval 7 days and weight > 0.1 then greatest(weight * 0.998::double, 0.1::double) else weight end, 6) as weight from e where weight is not null"),
     "m10_stale_decay": sql("e", f"select id, graph_name, round(case when last_reinforced_at < timestamp '{AS_OF}' - interval 48 hours and weight > 0.1 then greatest(weight * 0.95::double, 0.1::double) else weight end, 6) as weight from e where weight is not null"),
     "m11_normalized": """with x as (select vec_id, [v * 3 for v in embedding::double[]] as v from embeddings), y as (select vec_id, v, sqrt(list_sum([a * a for a in v])) as l from x)
