@@ -29,7 +29,7 @@ ID = re.compile(rf"(?<![\w]){_ID_LABEL}(?:\)|:|\s*#|,)?(?: is)?(?: of \w+)?[\s:]
 PHONE = re.compile(
     r"(?<![\w./:+-])(?P<x>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d[\d .-]{5,14}\d|0\d(?:[ .-]\d\d){4}|00\d{2} ?(?:\(0\))?\d{1,3}(?: \d{2,4}){2,4}|0\d{2,3}[ .-]\d{3,4}[ .-]\d{4}|00\d{10,13}|\(\d{3,4}\)[ .-]?\d[\d .-]{4,9}\d|0\d{2,4}[ /-]\d[\d ]{4,9}\d|\d{3}[ .-]\d{3}[ .-]\d{4}|0\d{9,10}|555-\d{4}|\d{3}-\d{4})(?![\w:/]|[.-]\d|,\d)"
 )
-_PHONE_NOT = re.compile(r"(?:offset|dump|Ticket|Line|build|Invoice|Part no\.?|ratio|from|version|window|Checksum|Batch|licence|passport|SSN|ID|NINO|no\.|number is|runs from|item|SKU)\s*[\d .:/-]*$")
+_PHONE_NOT = re.compile(r"(?:offset|dump|Ticket|Line|build|Invoice|Part no\.?|ratio|went from|version|window|Checksum|Batch|licence|passport|SSN|ID|NINO|no\.|number is|runs from|item|SKU)\s*[\d .:/-]*$")
 _G = r"[A-ZÀ-Þ][\w'’]+"
 _I = r"[A-Z]\."
 _S = rf"(?:(?:van|de|von|der|di|da) )*{_G}(?:-{_G})?"
