@@ -38,6 +38,15 @@ def links(df: DataFrame, node: str, parent: str, label: str, group: str | None =
     return flat.groupBy("grp", "node").agg(one).select("grp", "node", "x.parent", "x.label")
 
 
+def _doubled(low: DataFrame) -> DataFrame:
+    """Pointer doubling: every open pointer goes on to where its target points."""
+    step = low.select(F.col("grp").alias("sg"), F.col("node").alias("sn"), F.col("tail").alias("st"), F.col("hops").alias("sh"), F.col("over").alias("so"))
+    return low.join(step, (F.col("grp") == F.col("sg")) & (F.col("tail") == F.col("sn")) & ~F.col("over"), "left").select(
+        "grp", "node", "parent", "label", F.coalesce("st", "tail").alias("tail"), (F.col("hops") + F.coalesce("sh", F.lit(0))).alias("hops"),
+        (F.col("over") | F.coalesce("so", F.lit(False))).alias("over"),
+    )
+
+
 def _chains(rest: DataFrame) -> DataFrame:
     """Nodes of rest on a pendant chain: (grp, node, parent, label, tail, hops); tail is the chain's leaf."""
     kids = rest.where("parent is not null").groupBy(F.col("grp").alias("kg"), F.col("parent").alias("kp")).agg(
@@ -54,16 +63,8 @@ def _chains(rest: DataFrame) -> DataFrame:
     )
     open_before = low.where("not over").count()
     while open_before:
-        step = low.select(F.col("grp").alias("sg"), F.col("node").alias("sn"), F.col("tail").alias("st"), F.col("hops").alias("sh"), F.col("over").alias("so"))
-        low = cut(
-            low.join(step, (F.col("grp") == F.col("sg")) & (F.col("tail") == F.col("sn")) & ~F.col("over"), "left").select(
-                "grp", "node", "parent", "label",
-                F.coalesce("st", "tail").alias("tail"),
-                (F.col("hops") + F.coalesce("sh", F.lit(0))).alias("hops"),
-                (F.col("over") | F.coalesce("so", F.lit(False))).alias("over"),
-            )
-        )
-        # Every doubling ends some nodes of each pendant chain still open, so a doubling that ends none leaves
+        low = cut(_doubled(_doubled(low)))  # two in one job
+        # Every doubling ends some nodes of each pendant chain still open, so doublings that end none leave
         # only lines that run into a branching node or round a cycle: nothing for this round.
         now = low.where("not over").count()
         if now == open_before:

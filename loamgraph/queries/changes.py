@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import views as V
 from ..operators import facts, ingest, jobs, store
-from ..runtime import table
+from ..runtime import cut, table
 from ..views import AS_OF, sql
 
 
@@ -34,7 +34,7 @@ def _typed_nodes(s, d):
 def _matched(s, d):
     n = _typed_nodes(s, d)
     alias = n.where("name is not null").select("graph_name", F.replace("name", F.lit("-"), F.lit(" ")).alias("alias"), F.col("id").alias("node_id"))
-    return store.match_nodes(store.fold_delta(_delta(s, d)), n, alias), n
+    return cut(store.match_nodes(cut(store.fold_delta(_delta(s, d))), n, alias)), n
 
 
 def x4_matched(s, d):

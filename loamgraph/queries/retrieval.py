@@ -8,7 +8,7 @@ from .. import views as V
 from ..functions import text as T
 from ..operators import graph as G
 from ..operators import retrieval as R
-from ..runtime import table
+from ..runtime import cut, table
 from ..views import AS_OF, sql
 from .aggregates import triples
 from .filters import SIM, TRI, tri_sim
@@ -35,7 +35,7 @@ def _scored_nodes(s, d):
 
 def q1_recall(s, d):
     """Nodes and episodes scored, nodes raised by spreading activation from the five best, the ten best of all."""
-    nodes = _scored_nodes(s, d)
+    nodes = cut(_scored_nodes(s, d))  # at most 3 * LIMIT rows, used three times
     eps = R.score_episodes(R.episode_candidates(V.episodes(s, d), QUERY, LIMIT), AS_OF)
     seeds = nodes.orderBy(F.desc("score"), "id").limit(5)
     edges = V.edges(s, d).where("weight > 0")
