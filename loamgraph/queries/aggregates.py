@@ -185,7 +185,7 @@ def g8_next_sequence(s, d):
 def g9_percentiles(s, d):
     e = V.edges(s, d).where("weight is not null")
     p = F.percentile("weight", [0.5, 0.95])
-    return e.groupBy("graph_name").agg(F.min("weight").alias("least"), F.max("weight").alias("most"), F.round(F.avg("weight"), 4).alias("mean"), p.alias("p")).select("graph_name", "least", "most", "mean", F.round(F.col("p")[0], 6).alias("median"), F.round(F.col("p")[1], 6).alias("p95"))
+    return e.groupBy("graph_name").agg(F.min("weight").alias("least"), F.max("weight").alias("most"), F.round(F.avg("weight") + 1e-9, 4).alias("mean"), p.alias("p")).select("graph_name", "least", "most", "mean", F.round(F.col("p")[0], 6).alias("median"), F.round(F.col("p")[1], 6).alias("p95"))
 
 
 def g10_duplicate_names(s, d):
@@ -327,7 +327,7 @@ SQL = {
     "g6_routed": sql("ep jb", "select args->>'$.target_schema' as graph_name, count(distinct args->>'$.episode_ids[0]') as n_episodes, count(distinct args->>'$.agent_id') as n_agents from jb where args->>'$.target_schema' is not null group by 1"),
     "g7_distinct": sql("e", "select distinct graph_name, type_id from e"),
     "g8_next_sequence": sql("ep", "select agent_id, session_id, count(*) + 1 as next_sequence from ep where session_id is not null group by 1, 2"),
-    "g9_percentiles": sql("e", "select graph_name, min(weight) as least, max(weight) as most, round(avg(weight), 4) as mean, round(percentile_cont(0.5) within group (order by weight), 6) as median, round(percentile_cont(0.95) within group (order by weight), 6) as p95 from e where weight is not null group by 1"),
+    "g9_percentiles": sql("e", "select graph_name, min(weight) as least, max(weight) as most, round(avg(weight) + 1e-9, 4) as mean, round(percentile_cont(0.5) within group (order by weight), 6) as median, round(percentile_cont(0.95) within group (order by weight), 6) as p95 from e where weight is not null group by 1"),
     "g10_duplicate_names": sql("n", "select graph_name, lower(name) as key, count(*) as n, string_agg(cast(id as varchar), ',' order by id) as ids from n where not forgotten and name is not null group by 1, 2 having count(*) > 1"),
     "g11_type_drift": sql("n", "select lower(name) as key, count(distinct type_id) as n_types from n where name is not null group by 1 having count(distinct type_id) > 1"),
     "g12_reuse": sql("n", "select graph_name, round(count(*) / nullif(count(distinct type_id), 0)::double, 2) as reuse, round(100 * count(*) filter (where type_id is null) / count(*)::double, 1) as untyped_pct from n where graph_name is not null group by 1"),
