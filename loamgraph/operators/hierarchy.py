@@ -88,7 +88,7 @@ def hierarchy(records: DataFrame) -> DataFrame:
     rounds: list[DataFrame] = []
     left = rest.count()
     while left:
-        got = cut(_chains(rest))
+        got = _chains(rest)  # a filter on a table written there
         n = got.count()
         if not n:
             break
