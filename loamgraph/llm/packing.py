@@ -9,8 +9,6 @@ again in groups of their own, so that the rest of a group costs no container per
 
 from __future__ import annotations
 
-from functools import partial
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -65,7 +63,7 @@ def _grouped(items: DataFrame, rule: str, tag: str) -> DataFrame:
     for kind, n in many.items():
         groups = F.when(F.col("kind") == kind, n).otherwise(groups)
     spread = items.withColumn("grp", F.pmod(F.xxhash64("item_id", "piece", F.lit(tag)), groups.cast("bigint")))
-    return spread.groupBy("kind", "grp").applyInPandas(partial(_pack, rule=rule, tag=tag), _SCHEMA)
+    return spread.groupBy("kind", "grp").applyInPandas(lambda pdf: _pack(pdf, rule, tag), _SCHEMA)
 
 
 def pack(items: DataFrame, containers: DataFrame, rule: str = "norm", items_per_token: float = 1 / 8, attention_share: float = 1.0) -> DataFrame:
