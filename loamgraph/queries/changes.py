@@ -108,8 +108,8 @@ def x14_types(s, d):
 
 
 def x15_aliases(s, d):
-    a = V.nodes(s, d, "name").where("name is not null")
-    have = a.where("id % 2 = 0").select(F.lower("name").alias("alias"), F.col("id").alias("node_id"))
+    a = V.nodes(s, d, "name", "importance").where("name is not null")
+    have = a.where("importance > 0.5").select(F.lower("name").alias("alias"), F.col("id").alias("node_id"))
     new = a.select(F.lower("name").alias("alias"), F.col("id").alias("node_id"))
     return store.register(have, new, ["alias", "node_id"])
 
@@ -128,7 +128,7 @@ def x17_merged_types(s, d):
 
 
 def x18_archived(s, d):
-    used = V.nodes(s, d, "type_id", "graph_name").where("graph_name like 'ncx_quill%'").select("type_id")
+    used = V.nodes(s, d, "type_id", "graph_name").where("graph_name like 'ncx_quill0%'").select("type_id")
     return store.unused_types(V.node_types(s, d), used, store.SEED_NODE_TYPES, F.lit(AS_OF).cast("timestamp") - F.expr("interval 24 hours")).select("id", "name")
 
 
@@ -224,7 +224,7 @@ SQL = {
     "x15_aliases": sql("n", "select lower(name) as alias, id as node_id from n where name is not null"),
     "x16_retyped": sql("n nt", "select coalesce(nt.id, 1) as type_id, count(*) as n from n left join nt on nt.id = n.type_id group by 1"),
     "x17_merged_types": sql("n nt", ", m as (select a.id as src, b.id as dst from nt a, nt b where (a.name, b.name) in (('Task', 'Activity'), ('Routine', 'Activity'), ('Meal', 'Recipe'))), u as (select coalesce(dst, type_id) as t, count(*) as n from n left join m on src = type_id group by 1) select name, coalesce(u.n, 0) as n from nt left join u on u.t = nt.id where nt.id not in (select src from m)"),
-    "x18_archived": sql("n nt", f"select id, name from nt where name not in ({', '.join(repr(x) for x in store.SEED_NODE_TYPES)}) and created_at < timestamp '{AS_OF}' - interval 24 hours and id not in (select type_id from n where graph_name like 'ncx_quill%' and type_id is not null)"),
+    "x18_archived": sql("n nt", f"select id, name from nt where name not in ({', '.join(repr(x) for x in store.SEED_NODE_TYPES)}) and created_at < timestamp '{AS_OF}' - interval 24 hours and id not in (select type_id from n where graph_name like 'ncx_quill0%' and type_id is not null)"),
     "x20_cleanup": sql("e et", f", g as (select id from et where name not in ({', '.join(repr(x) for x in store.SEED_EDGE_TYPES)}) and id not in (select type_id from e where weight > 1.45 and type_id is not null)) select case when type_id in (select id from g) then 101 else type_id end as type_id, count(*) as n from e group by 1"),
     "x22_budget": "select kind, class_id from (select kind, class_id, row_number() over (partition by kind order by class_id, label) as r from (select distinct class_id, label, regexp_extract(class_id, '^([a-z]+)_', 1) as kind from ontology_classes)) where r <= 3",
     "x23_new_domains": sql("dom", "select id as parent_id, slug || '_new' as slug, cast(depth + 1 as bigint) as depth, path || '.' || slug || '_new' as path from dom where path is not null and depth is not null"),

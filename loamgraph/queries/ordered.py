@@ -23,7 +23,7 @@ def examples_per_type(nodes, k: int):
 
 
 def _eps(s, d):
-    return V.episodes(s, d).where("session_id is not null").select("id", "agent_id", "session_id", "created_at")
+    return V.event_episodes(s, d)
 
 
 def w0_share(s, d):
@@ -41,7 +41,7 @@ def w2_predecessor(s, d):
 
 def w3_neighbours(s, d):
     e = _eps(s, d)
-    return sessions.neighbours(e, e.where("id % 10 = 0").select("id"), 3).select("id", "neighbour_id", "offset")
+    return sessions.neighbours(e, e.select("id"), 3).select("id", "neighbour_id", "offset")
 
 
 def w4_first_node(s, d):
@@ -88,7 +88,7 @@ def w10_first_three(s, d):
 
 def j20_window_join(s, d):
     e = sessions.with_sequence(_eps(s, d))
-    a = e.where("id % 10 = 0").select("agent_id", "session_id", F.col("id").alias("nucleus"), F.col("session_sequence").alias("at"))
+    a = e.select("agent_id", "session_id", F.col("id").alias("nucleus"), F.col("session_sequence").alias("at"))
     near = e.join(a, ["agent_id", "session_id"]).where((F.col("session_sequence") >= F.col("at") - 1) & (F.col("session_sequence") <= F.col("at") + 2) & (F.col("id") != F.col("nucleus")))
     return near.select("nucleus", "id", (F.col("session_sequence") - F.col("at")).cast("bigint").alias("offset"))
 
@@ -154,13 +154,13 @@ def o12_capped(s, d):
 
 
 QUERIES = {k: f for k, f in list(globals().items()) if (k[0] in "wo" and k[1:2].isdigit()) or k == "j20_window_join"}
-_SEQ = ", sq as (select *, row_number() over (partition by agent_id, session_id order by created_at, id) as sqn from ep where session_id is not null)"
+_SEQ = ", sq as (select *, row_number() over (partition by agent_id, session_id order by created_at, id) as sqn from ev)"
 _NEAR = "select a.id, b.id as neighbour_id, b.sqn - a.sqn as \"offset\" from sq a join sq b on a.agent_id is not distinct from b.agent_id and a.session_id = b.session_id and b.sqn between a.sqn - 1 and a.sqn + 2 and a.id <> b.id"
 SQL = {
     "w0_share": sql("n", "select graph_name, count(*) as n, round(count(*) / sum(count(*)) over ()::double, 6) as share from n group by 1"),
-    "w1_sequence": sql("ep", _SEQ + " select id, sqn as session_sequence from sq"),
-    "w2_predecessor": sql("ep", "select id, lag(id) over (partition by agent_id, session_id order by created_at, id) as prev_id from ep where session_id is not null"),
-    "w3_neighbours": sql("ep", _SEQ + _NEAR + " where a.id % 10 = 0"),
+    "w1_sequence": sql("ev", _SEQ + " select id, sqn as session_sequence from sq"),
+    "w2_predecessor": sql("ev", "select id, lag(id) over (partition by agent_id, session_id order by created_at, id) as prev_id from ev"),
+    "w3_neighbours": sql("ev", _SEQ + _NEAR),
     "w4_first_node": sql("n", ", x as (select try_cast(properties['_source_episode'] as bigint) as episode_id, created_at, id from n) select episode_id, min_by(id, (created_at, id)) as node_id from x where episode_id is not null group by 1"),
     "w5_newest_per_type": sql("n", "select type_id, id, r from (select type_id, id, row_number() over (partition by type_id order by created_at desc nulls last, id) as r from n where type_id is not null) where r <= 3"),
     "w6_clusters": sql("ep", f""", x as (select id, session_id, created_at, round({REC.format('created_at')} * (1 + length(content) / 10000.0), 6) as score from ep where content is not null order by score desc, id limit 60),
@@ -170,7 +170,7 @@ SQL = {
     "w8_overfetch": """with s as (select a.vec_id, a.label, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 5) as sim from embeddings a, embeddings b where b.vec_id = 7 and a.vec_id <> 7),
       p as (select * from s order by sim desc, vec_id limit 30), r as (select *, row_number() over (partition by label order by sim desc, vec_id) as r from p) select vec_id, sim from r where r <= 2 order by sim desc, vec_id limit 10""",
     "w10_first_three": sql("n", "select id from (select id, row_number() over (partition by graph_name order by importance desc, id) as r from n where graph_name is not null) where r <= 3"),
-    "j20_window_join": sql("ep", _SEQ + _NEAR.replace("a.id, b.id as neighbour_id", "a.id as nucleus, b.id") + " where a.id % 10 = 0"),
+    "j20_window_join": sql("ev", _SEQ + _NEAR.replace("a.id, b.id as neighbour_id", "a.id as nucleus, b.id")),
     "o1_page": sql("n", "select id, name from n order by created_at desc nulls last, id desc limit 20 offset 20"),
     "o2_important": sql("n", "select id from n order by importance desc, access_count desc, id limit 50"),
     "o3_nearest": "select a.vec_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 5) as sim from embeddings a, embeddings b where b.vec_id = 0 and a.vec_id <> 0 order by sim desc, a.vec_id limit 10",
@@ -180,7 +180,7 @@ SQL = {
       select id, round(greatest(tf / (tf + 1), {tri_sim('name', "'weekly database'")}), 6) as score from x order by score desc, id limit 25"""),
     "o6_fuzzy_top": sql("n", f", x as (select id, round({tri_sim('name', chr(39) + 'Hidden Egnine' + chr(39))}, 6) as sim from n where name is not null and not forgotten) select * from x where sim >= 0.3 order by sim desc, id limit 10"),
     "o7_session_order": sql("ep", ", x as (select id, created_at, case when session_id is not null then row_number() over (partition by agent_id, session_id order by created_at, id) end as session_sequence from ep) select id, session_sequence from x order by session_sequence desc nulls last, created_at desc, id desc limit 40"),
-    "o9_truncate": sql("ep", _SEQ + ", top as (select id from ep where session_id is not null order by created_at desc, id desc limit 10) select id, false as is_neighbour from top union all select distinct neighbour_id, true from (" + _NEAR + " where a.id in (select id from top)) where neighbour_id not in (select id from top)"),
+    "o9_truncate": sql("ev", _SEQ + ", top as (select id from ev order by created_at desc, id desc limit 10) select id, false as is_neighbour from top union all select distinct neighbour_id, true from (" + _NEAR + " where a.id in (select id from top)) where neighbour_id not in (select id from top)"),
     "o10_names": sql("n", "select distinct name from n where not forgotten and name is not null order by name limit 500"),
     "o11_priority": sql("n", ", rg as (select distinct graph_name, regexp_extract(graph_name, '__(.*)$', 1) as purpose from n where graph_name is not null) select graph_name, row_number() over (order by case when purpose = 'personal' then 0 else 1 end, purpose, graph_name) as nr from rg"),
     "o12_capped": sql("n", ", c as (select graph_name, type_id, count(*) as n from n where type_id is not null and graph_name is not null group by 1, 2), r as (select *, row_number() over (partition by graph_name order by n desc, type_id) as r from c) select graph_name, type_id, n from r where r <= 3"),

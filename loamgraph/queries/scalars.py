@@ -210,7 +210,7 @@ def p2_json_path(s, d):
 def p3_canonical_json(s, d):
     from ..functions.jsons import canonical_json
 
-    return table(s, d, "events").where("event_id % 1 = 0").select("event_id", F.sha2(canonical_json(F.concat(F.lit('{"t": "'), "event_type", F.lit('", "p": '), "props", F.lit("}"))), 256).alias("hash"))
+    return table(s, d, "events").select("event_id", F.sha2(canonical_json(F.concat(F.lit('{"t": "'), "event_type", F.lit('", "p": '), "props", F.lit("}"))), 256).alias("hash"))
 
 
 QUERIES = {k: f for k, f in list(globals().items()) if k[0] in "mvtdap" and (k[1:2].isdigit() or k == "p_map_merge") and callable(f)}

@@ -19,7 +19,7 @@ from .scalars import REC
 
 def s14_manifest(s, d):
     steps = V.node_types(s, d).select("name", F.coalesce("description", F.lit("")).alias("body"))
-    applied = snapshots.manifest(steps.where("id % 3 > 0")).withColumn("checksum", F.when(F.length("name") > 8, F.lit("old")).otherwise(F.col("checksum")))
+    applied = snapshots.manifest(steps.where("body <> ''")).withColumn("checksum", F.when(F.length("name") > 8, F.lit("old")).otherwise(F.col("checksum")))
     return snapshots.pending(steps, applied)
 
 
@@ -45,8 +45,8 @@ def s20_audit(s, d):
 
 
 def m7_neighbour_score(s, d):
-    e = V.episodes(s, d).where("session_id is not null").select("id", "agent_id", "session_id", "created_at")
-    best = e.withColumn("score", S.recency(F.col("created_at"), AS_OF)).orderBy(F.desc("created_at"), F.desc("id")).limit(20)
+    e = V.event_episodes(s, d)
+    best = e.withColumn("score", S.recency(F.col("created_at"), "2024-02-01 00:00:00")).orderBy(F.desc("created_at"), F.desc("id")).limit(20)
     near = sessions.neighbours(e, best.select("id"), 3).join(best.select("id", "score"), "id")
     return near.groupBy("neighbour_id").agg(F.round(F.max("score") * S.NEIGHBOUR_FACTOR, 6).alias("score"))
 
@@ -130,8 +130,8 @@ def x1_append(s, d):
 
 
 def x19_empty_types(s, d):
-    old = F.lit("2025-05-01 00:00:00").cast("timestamp")
-    used = V.nodes(s, d, "type_id", "forgotten", "graph_name").where("not forgotten and graph_name like 'ncx_raven%'").select("type_id")
+    old = F.lit("2025-07-01 00:00:00").cast("timestamp")
+    used = V.nodes(s, d, "type_id", "forgotten", "graph_name").where("not forgotten and graph_name like 'ncx_raven0%'").select("type_id")
     return store.unused_types(V.node_types(s, d), used, [], old).select("id")
 
 
@@ -205,12 +205,12 @@ def x2_status(s, d):
 QUERIES = {k: f for k, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and "_" in k and any(c.isdigit() for c in k.split("_")[0])}
 _REG = """rg as (select graph_name, regexp_extract(graph_name, '__(.*)$', 1) as purpose, regexp_extract(graph_name, '^ncx_(.*?)__', 1) = 'shared' as is_shared from (select distinct graph_name from n where graph_name is not null))"""
 SQL = {
-    "s14_manifest": "select name, case when id % 3 = 0 then 'new' when length(name) > 8 then 'changed' end as state from graph_node_types where id % 3 = 0 or length(name) > 8",
+    "s14_manifest": "select name, case when description is null then 'new' when length(name) > 8 then 'changed' end as state from graph_node_types where description is null or length(name) > 8",
     "s16_health": "select unnest(['graph_nodes', 'graph_edges', 'no_such_table']) as \"table\", unnest([true, true, false]) as readable",
     "s18_snapshot": "select id, name from graph_node_types",
     "s20_audit": sql("ep", "select agent_id, 'remember' as action, count(*) as n from ep group by 1"),
-    "m7_neighbour_score": sql("ep", f""", sq as (select *, row_number() over (partition by agent_id, session_id order by created_at, id) as sqn from ep where session_id is not null),
-      top as (select *, {REC.format('created_at')} as score from sq order by created_at desc, id desc limit 20)
+    "m7_neighbour_score": sql("ev", f""", sq as (select *, row_number() over (partition by agent_id, session_id order by created_at, id) as sqn from ev),
+      top as (select *, {REC.format('created_at').replace(AS_OF, '2024-02-01 00:00:00')} as score from sq order by created_at desc, id desc limit 20)
       select b.id as neighbour_id, round(max(a.score) * 0.6, 6) as score from top a join sq b on a.agent_id is not distinct from b.agent_id and a.session_id = b.session_id and b.sqn between a.sqn - 1 and a.sqn + 2 and a.id <> b.id group by 1"""),
     "t7_like_escape": r"select id, regexp_replace(name, '([\\%_])', '\\\1', 'g') as escaped, true as matches_itself from graph_edge_types",
     "t18_decoded": sql("n", "select id, name, octet_length(encode(name)) as n_bytes from n where name is not null"),
@@ -230,7 +230,7 @@ SQL = {
     "x1_append": sql("ep", """, o as (select agent_id, session_id, count(*) as last from ep where batch_no < 8 and session_id is not null group by 1, 2),
       w as (select *, row_number() over (partition by agent_id, session_id order by created_at, id) as r from ep where batch_no = 8)
       select id, case when w.session_id is not null then r + coalesce(last, 0) end as session_sequence from w left join o on o.agent_id = w.agent_id and o.session_id = w.session_id"""),
-    "x19_empty_types": sql("n nt", "select id from nt where created_at < timestamp '2025-05-01' and id not in (select type_id from n where not forgotten and graph_name like 'ncx_raven%' and type_id is not null)"),
+    "x19_empty_types": sql("n nt", "select id from nt where created_at < timestamp '2025-07-01' and id not in (select type_id from n where not forgotten and graph_name like 'ncx_raven0%' and type_id is not null)"),
     "x21_persisted": sql("n", """, c as (select distinct class_id, parent_class_id as p from ontology_classes where class_id is not null)
       select case when p in (select class_id from c) then 'payload' when p in (select lower(name) from n where name is not null) then 'graph' else 'missing' end as endpoint, count(*) as n from c where p is not null and p <> '' group by 1"""),
     "x24_registry": sql("n", ", x as (select distinct graph_name from n where graph_name is not null union select distinct 'ncx_' || trim(regexp_replace(lower(trim(regexp_replace(agent_id, '^agent_', ''))), '[^a-z0-9]+', '_', 'g'), '_') || '__personal' from ingest_requests where agent_id is not null) select graph_name, regexp_extract(graph_name, '__(.*)$', 1) as purpose from x"),

@@ -53,6 +53,13 @@ def episodes(spark: SparkSession, d: str) -> DataFrame:
     ).distinct()
 
 
+def event_episodes(spark: SparkSession, d: str) -> DataFrame:
+    """Events as episodes (id, agent_id, session_id, created_at): a user's events of one day are a session."""
+    return table(spark, d, "events").select(
+        F.col("event_id").alias("id"), F.concat(F.lit("agent_"), F.col("user_id").cast("string")).alias("agent_id"), F.date_format("ts", "yyyy-MM-dd").alias("session_id"), F.col("ts").alias("created_at")
+    )
+
+
 def jobs(spark: SparkSession, d: str) -> DataFrame:
     """An extraction job per request: (id, task_name, status, queue_name, args as JSON, scheduled_at)."""
     res = table(spark, d, "ingest_results").select("request_id", F.col("status").alias("s"), "episodes_created").distinct()
@@ -87,6 +94,7 @@ SQL = {
     "et": "et as (select * from graph_edge_types)",
     "dom": "dom as (select * from (select *, row_number() over (partition by id order by updated_at desc nulls last) as rn from semantic_domains where id is not null) where rn = 1)",
     "ep": """ep as (select distinct request_id as id, agent_id, text as content, session_id, target_graph as graph_name, received_at as created_at, sent_at, batch_no, force_flag from ingest_requests)""",
+    "ev": "ev as (select event_id as id, 'agent_' || user_id as agent_id, strftime(ts, '%Y-%m-%d') as session_id, ts as created_at from events)",
     "jb": """jb as (select ep.id, case when graph_name is null then 'route_episode' else 'extract_episode' end as task_name,
       case s when 'stored' then 'succeeded' when 'failed' then 'failed' when 'skipped' then 'cancelled' else 'todo' end as status, 'extraction' as queue_name,
       '{"agent_id": "' || coalesce(agent_id, '') || '", "episode_ids": [' || ep.id || '], "target_schema": ' || coalesce('"' || graph_name || '"', 'null') || '}' as args,
