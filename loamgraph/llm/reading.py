@@ -45,9 +45,14 @@ def is_event_dump(col) -> F.Column:
     return (F.size(lines) > 0) & F.forall(lines, lambda x: x.rlike(r"^\s*\{.*\}\s*,?\s*$"))
 
 
+def _one_of(words: list[str]):
+    return lambda w: w.isin(words)
+
+
 def is_english(col) -> F.Column:
     """English function words outnumber those of each other language."""
-    n = {k: F.regexp_count(F.lower(col), F.lit(r"(?U)\b(?:" + "|".join(v.split()) + r")\b")) for k, v in FUNCTION_WORDS.items()}
+    words = F.split(F.lower(col), r"[^\p{L}]+")
+    n = {k: F.size(F.filter(words, _one_of(v.split()))) for k, v in FUNCTION_WORDS.items()}
     return (n["en"] > 0) & reduce(lambda a, b: a & b, [n["en"] > n[k] for k in n if k != "en"])
 
 
