@@ -212,6 +212,7 @@ SQL = {
     "m7_neighbour_score": sql("ev", f""", sq as (select *, row_number() over (partition by agent_id, session_id order by created_at, id) as sqn from ev),
       top as (select *, {REC.format('created_at').replace(AS_OF, '2024-02-01 00:00:00')} as score from sq order by created_at desc, id desc limit 20)
       select b.id as neighbour_id, round(max(a.score) * 0.6, 6) as score from top a join sq b on a.agent_id is not distinct from b.agent_id and a.session_id = b.session_id and b.sqn between a.sqn - 1 and a.sqn + 2 and a.id <> b.id group by 1"""),
+    "m12_rounded": sql("n", "select id, round(importance, 1) as importance from n"),
     "t7_like_escape": r"select id, regexp_replace(name, '([\\%_])', '\\\1', 'g') as escaped, true as matches_itself from graph_edge_types",
     "t18_decoded": sql("n", "select id, name, octet_length(encode(name)) as n_bytes from n where name is not null"),
     "d4_running": sql("ep jb", f"select id, round((epoch_us(timestamp '{AS_OF}') - epoch_us(scheduled_at)) / 3.6e9::double, 4) as hours from jb where status = 'todo' and scheduled_at is not null"),
