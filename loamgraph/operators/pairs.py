@@ -8,24 +8,26 @@ from pyspark.sql import functions as F
 from ..functions.text import set_similarity, trigrams
 
 
-def trigram_pairs(named: DataFrame, threshold: float) -> DataFrame:
-    """(id_a, id_b, sim) with id_a < id_b and trigram similarity of at least threshold (above 0).
+def trigram_pairs(named: DataFrame, threshold: float, group: str | None = None) -> DataFrame:
+    """(id_a, id_b, sim) with id_a < id_b and trigram similarity of at least threshold (above 0), within a group if one is named.
 
     Two sets of similarity t share one of the ceil(|a| (1 - t)) + 1 rarest members of each, so only those are
     joined. Equal names are one set: pairs are found between distinct names and then given to their ids.
-    Rows with a null id or name have no pairs; names without letters and digits pair with nothing.
+    Rows with a null id, name or group have no pairs; names without letters and digits pair with nothing.
     """
-    rows = named.where("id is not null and name is not null").select("id", F.lower("name").alias("key"))
-    names = rows.select("key").distinct().select("key", trigrams(F.col("key")).alias("g")).where("size(g) > 0")
-    grams = names.select("key", F.size("g").alias("n"), F.explode("g").alias("gram"))
-    freq = grams.groupBy("gram").agg(F.count("*").alias("df"))
-    w = Window.partitionBy("key").orderBy("df", "gram")
-    head = grams.join(freq, "gram").select("key", "n", "gram", F.row_number().over(w).alias("r")).where(F.col("r") <= F.floor(F.col("n") * (1 - threshold)) + 1)
-    other = head.select(F.col("key").alias("k2"), F.col("n").alias("n2"), F.col("gram").alias("g2"))
-    cand = head.join(other, (F.col("gram") == F.col("g2")) & (F.col("key") < F.col("k2")) & (F.col("n") >= threshold * F.col("n2")) & (F.col("n2") >= threshold * F.col("n"))).select("key", "k2").distinct()
-    a, b = names.select("key", F.col("g").alias("ga")), names.select(F.col("key").alias("k2"), F.col("g").alias("gb"))
-    close = cand.join(a, "key").join(b, "k2").select("key", "k2", set_similarity(F.col("ga"), F.col("gb")).alias("sim")).where(F.col("sim") >= threshold)
-    links = close.unionByName(names.select("key", F.col("key").alias("k2"), F.lit(1.0).alias("sim")))
-    left, right = rows.select(F.col("id").alias("ia"), "key"), rows.select(F.col("id").alias("ib"), F.col("key").alias("k2"))
-    both = links.join(left, "key").join(right, "k2").where((F.col("key") != F.col("k2")) | (F.col("ia") < F.col("ib")))
+    grp = F.lit("") if group is None else F.col(group).cast("string")
+    rows = named.where("id is not null and name is not null").select("id", F.lower("name").alias("key"), grp.alias("grp")).where("grp is not null")
+    names = rows.select("grp", "key").distinct().select("grp", "key", trigrams(F.col("key")).alias("g")).where("size(g) > 0")
+    grams = names.select("grp", "key", F.size("g").alias("n"), F.explode("g").alias("gram"))
+    freq = grams.groupBy("grp", "gram").agg(F.count("*").alias("df"))
+    w = Window.partitionBy("grp", "key").orderBy("df", "gram")
+    head = grams.join(freq, ["grp", "gram"]).select("grp", "key", "n", "gram", F.row_number().over(w).alias("r")).where(F.col("r") <= F.floor(F.col("n") * (1 - threshold)) + 1)
+    other = head.select("grp", "gram", F.col("key").alias("k2"), F.col("n").alias("n2"))
+    near = (F.col("key") < F.col("k2")) & (F.col("n") >= threshold * F.col("n2")) & (F.col("n2") >= threshold * F.col("n"))
+    cand = head.join(other, ["grp", "gram"]).where(near).select("grp", "key", "k2").distinct()
+    a, b = names.select("grp", "key", F.col("g").alias("ga")), names.select("grp", F.col("key").alias("k2"), F.col("g").alias("gb"))
+    close = cand.join(a, ["grp", "key"]).join(b, ["grp", "k2"]).select("grp", "key", "k2", set_similarity(F.col("ga"), F.col("gb")).alias("sim")).where(F.col("sim") >= threshold)
+    links = close.unionByName(names.select("grp", "key", F.col("key").alias("k2"), F.lit(1.0).alias("sim")))
+    left, right = rows.select("grp", F.col("id").alias("ia"), "key"), rows.select("grp", F.col("id").alias("ib"), F.col("key").alias("k2"))
+    both = links.join(left, ["grp", "key"]).join(right, ["grp", "k2"]).where((F.col("key") != F.col("k2")) | (F.col("ia") < F.col("ib")))
     return both.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"), "sim").where("id_a <> id_b")

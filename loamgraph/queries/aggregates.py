@@ -9,7 +9,7 @@ from .. import views as V
 from ..functions import scoring as S
 from ..functions import text as T
 from ..operators import pairs
-from ..runtime import cut, table
+from ..runtime import table
 from ..views import AS_OF, sql
 from .filters import tri_sim
 from .scalars import ACT
@@ -70,9 +70,8 @@ def j7_unused(s, d):
 
 def j8_similar_names(s, d):
     """Similar names within a graph, over all graphs."""
-    n = cut(V.nodes(s, d, "graph_name", "name", "forgotten").where("not forgotten and name is not null").select("id", "name", "graph_name"))
-    a, b = n.select(F.col("id").alias("id_a"), F.col("graph_name").alias("ga")), n.select(F.col("id").alias("id_b"), F.col("graph_name").alias("gb"))
-    return pairs.trigram_pairs(n, 0.6).join(a, "id_a").join(b, "id_b").where("ga = gb").select("id_a", "id_b", F.round("sim", 6).alias("sim"))
+    n = V.nodes(s, d, "graph_name", "name", "forgotten").where("not forgotten")
+    return pairs.trigram_pairs(n.select("id", "name", "graph_name"), 0.6, "graph_name").select("id_a", "id_b", F.round("sim", 6).alias("sim"))
 
 
 def j9_prefix_pairs(s, d):
