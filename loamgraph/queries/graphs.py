@@ -44,7 +44,7 @@ def n5_spreading(s, d):
 
 def _first_nodes(s, d):
     n = V.nodes(s, d, "properties", "created_at").select(F.col("id").alias("node_id"), "created_at", F.element_at("properties", "_source_episode").try_cast("bigint").alias("episode_id"))
-    return n.where("episode_id is not null").groupBy(F.pmod("episode_id", F.lit(10000)).alias("episode_id")).agg(F.min_by("node_id", F.struct("created_at", "node_id")).alias("node_id"))
+    return n.where("episode_id is not null").groupBy("episode_id").agg(F.min_by("node_id", F.struct("created_at", "node_id")).alias("node_id"))
 
 
 def n8_session_links(s, d):
