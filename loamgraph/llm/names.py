@@ -1,11 +1,13 @@
 """Variant spellings of names typed by people.
 
 1. Each name is read into words: accents, titles, legal forms, brackets, joined words and word order are
-   taken off; c/k, ks/x and y/i sound alike. What reads alike is one row from here on.
+   taken off; c/k, ks/x, ph/f and y/i sound alike. What reads alike is one row from here on.
 2. Misspelt words: a segment join over the *distinct* words. By the pigeonhole principle a word within k
    edits of another leaves one of its k+1 segments intact, at a place shifted by at most k; segments are
-   looked up in an inverted index and the hits verified with a banded edit distance. A word is corrected
-   to the nearest word that is at least DOMINANCE times as frequent. Words up to 4 letters stay.
+   looked up in an inverted index and the hits verified with a banded edit distance. Words are compared as
+   they sound and as they are typed, as one slip may change more than one letter of the sound; the smaller
+   distance counts. A word is corrected to the nearest word that is at least DOMINANCE times as frequent.
+   Words up to 4 letters stay.
 3. Nicknames become full names, business words lose their abbreviations. The entity is the set of words.
 4. A name of initial and surname joins the only entity, or the one DOMINANCE times as frequent as the
    next, that it can mean; else it only equals its own kind. A lone surname means nobody else.
@@ -15,7 +17,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -60,7 +62,7 @@ _LEET = str.maketrans("013457", "oleast")
 
 def fold(word: str) -> str:
     """Sound-alike form; the first letter stays, so that initials remain comparable."""
-    return word[:1] + word[1:].replace("ks", "x").replace("c", "k").replace("y", "i")
+    return word[:1] + word[1:].replace("ks", "x").replace("ph", "f").replace("c", "k").replace("y", "i")
 
 
 _FORMAL = {fold(k): [fold(x) for x in v.split()] for k, v in NICKNAMES.items()}
@@ -86,13 +88,13 @@ def _words(text: str, person: bool) -> tuple[list[str], bool]:
 
 
 def read_name(kind: str, text: str) -> tuple[list[str], str]:
-    """(words, initial): the folded words in no particular order, and the initial of a person without a full given name."""
+    """(words, initial): the words as typed in no particular order, and the initial of a person without a full given name."""
     words, _ = _words(text, kind == "Person")
     if kind == "Person":
-        full = [fold(w) for w in words if len(w) > 1 and w not in TITLES and w not in SUFFIXES]
+        full = [w for w in words if len(w) > 1 and w not in TITLES and w not in SUFFIXES]
         initials = [w for w in words if len(w) == 1]
         return full, initials[0] if len(full) == 1 and initials else ""
-    return [fold(w) for w in words if w not in LEGAL and w not in FILLER and len(w) > 1], ""
+    return [w for w in words if w not in LEGAL and w not in FILLER and len(w) > 1], ""
 
 
 def osa_within(a: str, b: str, k: int) -> int:
@@ -148,32 +150,36 @@ def probe_keys(w: str) -> set[str]:
     return out
 
 
+def forms(word: str, typed: Iterable[str]) -> list[tuple[str, str]]:
+    """(form, side) of a folded word: 's' as it sounds, 't' as typed, 'st' if it is typed as it sounds. An 's' and a 't' are not compared."""
+    typed = set(typed)
+    return [(word, "st" if word in typed else "s"), *((t, "t") for t in sorted(typed - {word}))]
+
+
 def _keyed(make):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            rows = [(k, w, n, x) for k, w, n in zip(p["kind"], p["word"], p["n"]) for x in make(w)]
-            yield pd.DataFrame(rows, columns=["kind", "word", "n", "key"])
+            rows = [(k, w, n, f, s, x) for k, w, n, t in zip(p["kind"], p["word"], p["n"], p["typed"]) for f, s in forms(w, t) for x in make(f)]
+            yield pd.DataFrame(rows, columns=["kind", "word", "n", "form", "side", "key"])
 
     return run
 
 
 def corrections(words: DataFrame) -> DataFrame:
-    """(kind, word, right) for words (kind, word, n) that are misspellings of a more frequent word."""
-    words = words.where(F.length("word") >= 4)
-    schema = "kind string, word string, n bigint, key string"
+    """(kind, word, right) for folded words (kind, word, n, typed), typed being their spellings, that are misspellings of a more frequent word."""
+    schema = "kind string, word string, n bigint, form string, side string, key string"
     probe = words.where(~F.col("word").isin(sorted(_SAFE))).mapInPandas(_keyed(probe_keys), schema)
     index = words.where(F.col("n") >= DOMINANCE).mapInPandas(_keyed(index_keys), schema)
-    index = index.select(F.col("kind").alias("k2"), F.col("word").alias("right"), F.col("n").alias("n2"), F.col("key").alias("key2"))
-    hit = (
-        probe.join(index, (F.col("key") == F.col("key2")) & (F.col("kind") == F.col("k2")) & (F.col("n2") >= DOMINANCE * F.col("n")) & (F.col("word") != F.col("right")))
-        .select("kind", "word", "right", "n2").distinct()
-    )
+    index = index.select(F.col("kind").alias("k2"), F.col("word").alias("right"), F.col("n").alias("n2"), F.col("form").alias("form2"), F.col("side").alias("side2"), F.col("key").alias("key2"))
+    same = (F.col("key") == F.col("key2")) & (F.col("kind") == F.col("k2")) & (F.col("n2") >= DOMINANCE * F.col("n")) & (F.col("word") != F.col("right"))
+    met = (F.col("side") == F.col("side2")) | (F.col("side") == "st") | (F.col("side2") == "st")
+    hit = probe.join(index, same & met).select("kind", "word", "right", "n2", "form", "form2").distinct()
 
     def verify(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            d = [osa_within(a, b, edits(len(b))) for a, b in zip(p["word"], p["right"])]
+            d = [osa_within(a, b, edits(len(b))) for a, b in zip(p["form"], p["form2"])]
             p = p.assign(d=pd.Series(d, dtype="int64", index=p.index))
-            yield p[[x <= edits(len(b)) for x, b in zip(d, p["right"])]]
+            yield p.loc[[x <= edits(len(b)) for x, b in zip(d, p["form2"])], ["kind", "word", "right", "n2", "d"]]
 
     near = hit.mapInPandas(verify, "kind string, word string, right string, n2 bigint, d bigint")
     best = near.groupBy("kind", "word").agg(F.min(F.struct("d", (-F.col("n2")).alias("m"), "right")).alias("x")).select("kind", "word", F.col("x.right").alias("right"))
@@ -185,7 +191,7 @@ def corrections(words: DataFrame) -> DataFrame:
 def _read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for p in parts:
         got = [read_name(k, t) for k, t in zip(p["kind"], p["name"])]
-        yield pd.DataFrame({"id": p["id"], "kind": p["kind"], "spelling": [" ".join(w) + ("|" + i if i else "") for w, i in got]})
+        yield pd.DataFrame({"id": p["id"], "kind": p["kind"], "spelling": [" ".join(map(fold, w)) + ("|" + i if i else "") for w, i in got], "typed": [" ".join(w) for w, _ in got]})
 
 
 def _formal(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -217,11 +223,13 @@ def entities(names: DataFrame) -> DataFrame:
     Rows with a null id, kind or name name nothing and are left out. Names without any letter equal only
     the same spelling. One id may occur once only.
     """
-    read = cut(names.where("id is not null and kind is not null and name is not null").select("id", "kind", "name").mapInPandas(_read, "id bigint, kind string, spelling string"))
+    read = cut(names.where("id is not null and kind is not null and name is not null").select("id", "kind", "name").mapInPandas(_read, "id bigint, kind string, spelling string, typed string"))
     spelt = read.groupBy("kind", "spelling").agg(F.count("*").alias("n"))
     split = spelt.select("kind", "spelling", "n", F.posexplode(F.split(F.substring_index("spelling", "|", 1), " ")).alias("at", "word"))
     words = cut(split)
-    fix = corrections(words.where("word <> ''").groupBy("kind", "word").agg(F.sum("n").alias("n")))
+    pairs = F.expr("zip_with(split(substring_index(spelling, '|', 1), ' '), split(typed, ' '), (x, y) -> struct(x as word, y as typed))")
+    typed = read.groupBy("kind", "spelling", "typed").agg(F.count("*").alias("n")).select("kind", "n", F.explode(pairs).alias("x")).select("kind", "n", "x.word", "x.typed")
+    fix = corrections(typed.where("word <> ''").groupBy("kind", "word").agg(F.sum("n").alias("n"), F.collect_set("typed").alias("typed")))
     right = (
         words.join(fix, ["kind", "word"], "left")
         .groupBy("kind", "spelling", "n")

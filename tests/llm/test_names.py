@@ -88,3 +88,10 @@ def test_nulls_empty_and_pairs(spark, rows):
 def test_hot_spelling(spark):
     df = spark.range(60).selectExpr("id", "'Person' as kind", "case when id % 3 = 0 then 'Isaac Ponimiso' else concat('Robert ', translate(cast(id + 1000000 as string), '0123456789', 'abcdefghij')) end as name")
     assert N.entity_classes(N.entities(df)).where("n_links = 19").count() == 20
+
+
+def test_one_slip_of_typing_is_one_edit(spark):
+    s = ["Winifred Bafalmand", "Winifred L. Baphalmand", "Victoria Fefeleso", "V. Fepheleso", "Edward Grandorkawo", "Edward Grandorkawo", "Eddie H. Grandorkswo", "Oscar Kokockesko", "Oscar Kokockesko", "OSCAR KOKOCKSEKO", "Oscar Kokorkesto"]
+    _, got = classes(spark, s)
+    assert same(got, 0, 1) and same(got, 2, 3) and same(got, 4, 5, 6) and same(got, 7, 8, 9)
+    assert len({got[i] for i in (0, 2, 4, 7, 10)}) == 5
