@@ -92,7 +92,7 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_keys(spark: SparkSession, d: str) -> DataFrame:
-    """The state after folding the history month by month in two halves: what a daily run would keep."""
+    """The orphan keys of the state after folding the whole tables once."""
     nodes, edges, types = _ref_tables(spark, d)
     g = F.col("graph_name")
     deltas = [
