@@ -56,17 +56,24 @@ def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redacted(_texts(spark, d).dropDuplicates(["text_field", "row_id"]))
 
 
-def _first_messages(spark: SparkSession, d: str) -> DataFrame:
-    return repeats.first_messages(table(spark, d, "ingest_requests"))
-
-
 def _batches(spark: SparkSession, d: str) -> DataFrame:
     req = table(spark, d, "ingest_requests")
     return req.where("request_id is not null").groupBy(F.col("request_id").alias("id")).agg(F.max("batch_no").alias("batch_no"))
 
 
+def _accepted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(id, first_id) of the history, and of the new batches that were added to it."""
+    req = table(spark, d, "ingest_requests")
+    old, state = repeats.add_batch(repeats.scratch_history(spark), req.where("batch_no = 0"))
+    return old, repeats.add_batch(state, req.where("batch_no >= 1"))[0]
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    hit = _first_messages(spark, d).where("first_id < id").join(_batches(spark, d).where("batch_no >= 1"), "id")
+    """Requests of the new batches that repeat an earlier one, and hash checks that name a known text.
+
+    The history is stored once; the eight batches are then added to it together, which gives what one after the other gives.
+    """
+    hit = _accepted(spark, d)[1].where("first_id < id")
     req = table(spark, d, "ingest_requests").where("batch_no = 0").select(F.col("request_id").alias("id"), "text")
     known = repeats.known_hashes(table(spark, d, "hash_checks"), req)
     return hit.select(F.lit("request").alias("case_kind"), "first_id", F.col("id").alias("second_id")).unionByName(
@@ -76,7 +83,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_batches(spark: SparkSession, d: str) -> DataFrame:
     """What each batch brings: requests, repeats and messages not seen before."""
-    per = _batches(spark, d).join(_first_messages(spark, d), "id", "left")
+    old, new = _accepted(spark, d)
+    per = _batches(spark, d).join(old.unionByName(new), "id", "left")
     return per.groupBy("batch_no").agg(
         F.count("*").alias("n_requests"), F.count(F.when(F.col("first_id") < F.col("id"), 1)).alias("n_repeats"), F.count(F.when(F.col("first_id") == F.col("id"), 1)).alias("n_new")
     )
