@@ -92,18 +92,22 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_keys(spark: SparkSession, d: str) -> DataFrame:
-    """The orphan keys of the state after folding the whole tables once."""
+    """The orphan keys of the state after four deliveries of changes, by quarter of the year; forgetting a node is a delta of -1."""
     nodes, edges, types = _ref_tables(spark, d)
-    g = F.col("graph_name")
-    deltas = [
-        R.reference_deltas(edges, "edge.source_id", g, F.col("source_id")),
-        R.existence_deltas(nodes, "edge.source_id", g, F.col("id")),
-        R.reference_deltas(edges, "edge.target_id", g, F.col("target_id")),
-        R.existence_deltas(nodes, "edge.target_id", g, F.col("id")),
-        R.reference_deltas(nodes, "node.type_id", F.lit(""), F.col("type_id")),
-        R.existence_deltas(types, "node.type_id", F.lit(""), F.col("id")),
-    ]
-    return R.current_orphans(R.fold(*deltas))
+    g, one = F.col("graph_name"), F.lit("")
+    made, gone = F.col("created_at"), F.col("forgotten_at")
+    state = None
+    for quarter in (1, 2, 3, 4):
+        due = lambda df, at: df.where(F.coalesce(F.quarter(at), F.lit(1)) == quarter)  # noqa: B023, E731
+        forgot = nodes.where(gone.isNotNull() & (F.quarter(gone) == quarter))
+        deltas = [
+            R.reference_deltas(due(edges, made), "edge.source_id", g, F.col("source_id")), R.reference_deltas(due(edges, made), "edge.target_id", g, F.col("target_id")),
+            R.existence_deltas(due(nodes, made), "edge.source_id", g, F.col("id")), R.existence_deltas(due(nodes, made), "edge.target_id", g, F.col("id")),
+            R.existence_deltas(forgot, "edge.source_id", g, F.col("id"), -1), R.existence_deltas(forgot, "edge.target_id", g, F.col("id"), -1),
+            R.reference_deltas(due(nodes, made), "node.type_id", one, F.col("type_id")), R.existence_deltas(due(types, made), "node.type_id", one, F.col("id")),
+        ]
+        state = R.fold(*([state] if state else []), *deltas)
+    return R.current_orphans(state).select("ref_field", "scope", "ref_key", "refs", "alive")
 
 
 _P4 = """with n as (select * from (select *, row_number() over (partition by id order by updated_at desc nulls last) as rn from graph_nodes where id is not null) where rn = 1),
@@ -140,5 +144,5 @@ SQL = {
     "p4_report": _P4 + "select ref_field, period, orphan_kind, count(*) as n_refs, count(distinct ref_key) as n_keys from found group by 1, 2, 3",
     "p4_keys": _P4 + """, a as (select ref_field, scope, ref_key, count(*) as refs from refs where ref_key is not null group by 1, 2, 3)
       select a.ref_field, a.scope, a.ref_key, a.refs, cast(0 as bigint) as alive from a
-      where not exists (select 1 from tgt t where t.ref_field = a.ref_field and t.scope = a.scope and t.ref_key = a.ref_key)""",
+      where not exists (select 1 from tgt t where t.ref_field = a.ref_field and t.scope = a.scope and t.ref_key = a.ref_key and t.gone is null)""",
 }
