@@ -95,3 +95,24 @@ def test_one_slip_of_typing_is_one_edit(spark):
     _, got = classes(spark, s)
     assert same(got, 0, 1) and same(got, 2, 3) and same(got, 4, 5, 6) and same(got, 7, 8, 9)
     assert len({got[i] for i in (0, 2, 4, 7, 10)}) == 5
+
+
+def test_equally_rare_variants_and_short_words(spark):
+    s = ["Northwind Tradres", "Northwind Traders", "Contoso Foods", "Contoso International", "Contoso Intl", "International Business Machines", "IBM", "Fabrikam Foods", "Contosa Bakery"]
+    _, got = classes(spark, s, "Organization")
+    assert same(got, 0, 1) and same(got, 3, 4) and same(got, 5, 6) and len({got[i] for i in (0, 2, 3, 5, 7, 8)}) == 6
+    _, got = classes(spark, ["Jhon Peterson", "John Peterson", "John A. Smith", "John B. Smith", "John Smith", "Maria Lopez"])
+    assert same(got, 0, 1) and len({got[i] for i in (0, 2, 3, 4, 5)}) == 5
+    _, got = classes(spark, ["Robert A. Grarixathin", "Robert Grarixathin", "Bob A Grarixathin"])
+    assert same(got, 0, 1, 2)
+
+
+def test_short_forms():
+    assert N.shortens("bki", "bakeri") and N.shortens("txtl", "textiles") and N.shortens("robo", "robotiks") and N.shortens("mtrs", "motors")
+    assert not N.shortens("bakeri", "bakeri") and not N.shortens("mt", "motors") and not N.shortens("foo", "bar") and not N.shortens("ba", "bakeri")
+
+
+def test_business_words_are_written_out(spark):
+    firms = ["Adum", "Belor", "Cavit", "Dosal", "Evoni", "Fulat"]
+    _, got = classes(spark, [f"{f} Bakery" for f in firms] + ["Adum Bky", "Belor Bky Ltd", "Adum R&D", "Adum Research and Design", "Belor Bikes"], "Organization")
+    assert same(got, 0, 6) and same(got, 1, 7) and same(got, 8, 9) and len({got[i] for i in (0, 1, 2, 3, 4, 5, 8, 10)}) == 8
