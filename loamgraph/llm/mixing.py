@@ -16,6 +16,8 @@ from .prefix import BUCKETS, with_running_sum
 
 GOLDEN = 0.6180339887498949
 BLOCK_TOKENS = 4096
+#: How far from its target share a source may be, as a share of it, to count as met.
+MET = 0.01
 
 
 def quotas(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
@@ -82,7 +84,7 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, bl
 def share_report(docs: DataFrame, targets: DataFrame, mixed: DataFrame, total_tokens: int | None = None) -> DataFrame:
     """Per target source: target and actual share, tokens, documents, most uses of a document, and whether the share is met.
 
-    Met means within 0.5 % of all tokens. A source without documents, or with too few at max_repeats, is not met.
+    Met means within MET of the target share itself. A source without documents, or with too few at max_repeats, is not met.
     """
     use = mixed.groupBy("source", "doc_id").agg(F.count("*").alias("uses"), F.sum("tokens").alias("tokens"))
     per = use.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n_docs"), F.max("uses").alias("most_uses"))
@@ -91,5 +93,5 @@ def share_report(docs: DataFrame, targets: DataFrame, mixed: DataFrame, total_to
     actual = F.coalesce(F.col("tokens") / F.nullif(F.sum("tokens").over(Window.partitionBy()), F.lit(0)), F.lit(0.0))
     return out.select(
         "source", F.round("target_share", 6).alias("target_share"), F.round(actual, 6).alias("actual_share"), "tokens", "available", "n_docs", "most_uses", "max_repeats",
-        (F.abs(actual - F.col("target_share")) <= 0.005).alias("met"),
+        (F.abs(actual - F.col("target_share")) <= MET * F.col("target_share")).alias("met"),
     )

@@ -1,7 +1,8 @@
 """Filling fixed-capacity containers: vector best-fit under token, document-count and attention-cost capacities.
 
 Items are spread over groups of about GROUP_ITEMS by a hash, and each group is packed on its own in
-decreasing size. A container must have room in every dimension. Among those that do, best-fit takes the
+decreasing size. A container must have room in every dimension; an item that alone exceeds the attention capacity has a
+container to itself, and others join it as little as one that is full. Among those that do, best-fit takes the
 one with the smallest residual norm after the item (rule 'norm') or the largest weighted dot product of
 item and residual (rule 'dot'). Containers left below REPACK_FILL are emptied and their items packed
 again in groups of their own, so that the rest of a group costs no container per group.
@@ -24,7 +25,7 @@ WEIGHTS = (1.0, 0.1, 0.1)  # of the token, document and attention dimension
 def pack_group(tokens: np.ndarray, capacity: int, max_items: int, max_attention: float, rule: str = "norm") -> np.ndarray:
     """The container number of each item; items must not exceed the capacity. Largest items go first, ties in given order."""
     n = len(tokens)
-    need = np.stack([tokens / capacity, np.full(n, 1 / max_items), (tokens.astype(float) ** 2) / max_attention], axis=1)
+    need = np.stack([tokens / capacity, np.full(n, 1 / max_items), np.minimum((tokens.astype(float) ** 2) / max_attention, 1.0)], axis=1)
     weights = np.array(WEIGHTS)
     left = np.empty((0, 3))
     place = np.full(n, -1)
@@ -66,13 +67,13 @@ def _grouped(items: DataFrame, rule: str, tag: str) -> DataFrame:
     return spread.groupBy("kind", "grp").applyInPandas(lambda pdf: _pack(pdf, rule, tag), _SCHEMA)
 
 
-def pack(items: DataFrame, containers: DataFrame, rule: str = "norm", items_per_token: float = 1 / 8, attention_share: float = 1.0) -> DataFrame:
+def pack(items: DataFrame, containers: DataFrame, rule: str = "norm", items_per_token: float = 1 / 64, attention_share: float = 0.9) -> DataFrame:
     """(kind, container, item_id, piece, tokens, capacity, used): every item in one container of every kind.
 
     items: (item_id, tokens), one row per item; a null or negative size counts as 0, null ids are left out.
     containers: (kind, capacity), capacities below 1 are left out. An item above the capacity is split into
     full containers of its own and a rest (piece 0, 1, ...), which is packed like an item. A container holds
-    at most max(16, capacity * items_per_token) items and attention_share * capacity**2 of summed squares.
+    at most max(16, capacity * items_per_token) items and attention_share * capacity**2 of summed squares; a single item may exceed the latter.
     """
     kinds = containers.where("kind is not null and capacity >= 1").groupBy("kind").agg(F.max("capacity").cast("bigint").alias("capacity"))
     rows = items.where("item_id is not null").select("item_id", F.greatest(F.coalesce("tokens", F.lit(0)), F.lit(0)).cast("bigint").alias("tokens"))

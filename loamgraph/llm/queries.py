@@ -121,6 +121,18 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(_packed(spark, d))
 
 
+def p7_kept(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of any packing: documents and tokens placed, pieces of documents above the capacity, containers over it, documents in two containers without need."""
+    got = cut(_packed(spark, d))
+    full = got.groupBy("kind", "container").agg((F.sum("tokens") > F.first("capacity")).cast("int").alias("over")).groupBy("kind").agg(F.sum("over").cast("bigint").alias("n_over"))
+    doc = got.groupBy("kind", "item_id").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("tokens"), F.first("capacity").alias("capacity"))
+    split = F.when(F.col("pieces") > 1, 1)
+    per = doc.groupBy("kind").agg(
+        F.count("*").alias("n_docs"), F.sum("tokens").alias("tokens"), F.sum("pieces").alias("n_pieces"), F.count(F.when(F.col("tokens") <= F.col("capacity"), split)).alias("n_split_without_need")
+    )
+    return per.join(full, "kind").withColumnRenamed("kind", "container_kind")
+
+
 def _targets(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "source_targets").select(reading.normal_source(F.col("source")).alias("source"), "target_share", "max_repeats")
 
@@ -135,6 +147,16 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.share_report(docs, targets, mixing.mix(docs, targets))
 
 
+def p8_kept(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of any mix: per target source, whether a document occurs more often than allowed, and whether sources without a target or documents give any."""
+    docs, targets = cut(_sized(spark, d)), _targets(spark, d)
+    use = mixing.mix(docs, targets).groupBy("source", "doc_id").agg(F.count("*").alias("uses")).groupBy("source").agg(F.max("uses").alias("uses"))
+    there = docs.where("tokens > 0").groupBy("source").agg(F.count("*").alias("n_docs"))
+    return targets.join(use, "source", "left").join(there, "source", "left").select(
+        "source", (F.coalesce("uses", F.lit(0)) > F.col("max_repeats")).alias("too_often"), (F.col("uses").isNotNull()).alias("in_mix"), F.coalesce("n_docs", F.lit(0)).alias("n_docs")
+    )
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels")).select("doc_id", F.col("level").alias("reading_level"))
 
@@ -146,8 +168,15 @@ def p9_profile(spark: SparkSession, d: str) -> DataFrame:
     return got.groupBy("source").agg(*[F.count(F.when(F.col("reading_level") == k, 1)).alias(f"n_level_{k}") for k in reading.LEVELS], F.round(F.avg("reading_level"), 4).alias("mean_level"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_nearest": p2_nearest, "p3_found": p3_found, "p3_classes": p3_classes, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_batches": p6_batches, "p6_checks": p6_checks, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_profile": p9_profile}
+QUERIES = {"p2_found": p2_found, "p2_nearest": p2_nearest, "p3_found": p3_found, "p3_classes": p3_classes, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_batches": p6_batches, "p6_checks": p6_checks, "p7_containers": p7_containers, "p7_fill": p7_fill, "p7_kept": p7_kept, "p8_kept": p8_kept, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_profile": p9_profile}
+_SIZED = r"""with s as (select doc_id, regexp_replace(lower(trim(source)), '[-\s]+', '_', 'g') as source,
+  coalesce(n_tokens, len(regexp_extract_all(text, '[\p{L}\p{M}\p{N}\p{Pc}]+|[^\p{L}\p{M}\p{N}\p{Pc}\s]+')), 0) as tokens from documents)
+"""
 SQL = {
+    "p7_kept": _SIZED + """select container_kind, count(*) as n_docs, cast(sum(tokens) as bigint) as tokens, cast(sum(greatest(ceil(tokens / capacity_tokens), 1)) as bigint) as n_pieces,
+      cast(0 as bigint) as n_split_without_need, cast(0 as bigint) as n_over from s cross join pack_containers group by 1""",
+    "p8_kept": _SIZED + r"""select t.source, false as too_often, count(s.doc_id) > 0 as in_mix, count(s.doc_id) as n_docs
+      from (select regexp_replace(lower(trim(source)), '[-\s]+', '_', 'g') as source from source_targets) t left join s on s.source = t.source and s.tokens > 0 group by 1""",
     "p6_checks": """with seen as (select distinct sha256(text) as h from ingest_requests where batch_no = 0 and text is not null),
       asked as (select distinct check_id, lower(regexp_extract(x, '([0-9A-Fa-f]{64})', 1)) as h from (select check_id, unnest(hashes) as x from hash_checks)),
       n as (select check_id, count(*) filter (where h <> '') as n_asked, count(*) filter (where h in (select h from seen)) as n_known from asked group by 1)

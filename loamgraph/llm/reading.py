@@ -1,7 +1,8 @@
 """Reading level of documents from one smoothed unigram language model per level.
 
-Labelled documents train the models; a document gets the level under which its words are most likely.
-Labels that the first models contradict are taken for errors and left out of the second, final training.
+Labelled documents train the models; a document gets the level with the highest posterior, that is the likelihood of its
+words times the share of the level among the labelled documents. Labels that the first models contradict are taken for
+errors and left out of the second, final training. Each text is read once, into the list of its words.
 """
 
 from __future__ import annotations
@@ -15,10 +16,11 @@ from pyspark.sql import functions as F
 from ..runtime import cut
 
 LEVELS = (1, 2, 3, 4)
-#: Bounds of what is fitted on and of the model, which is broadcast: labelled documents, and words by frequency.
+#: Bound of the labelled documents the models are fitted on; all their words are in the models.
 MAX_LABELLED = 20_000
-MAX_WORDS = 50_000
 SMOOTHING = 0.5
+#: Least share of English function words in an English text.
+MIN_ENGLISH = 0.05
 MIN_TOKENS = 50
 
 # Frequent function words by which a text's language is told.
@@ -49,19 +51,17 @@ def _one_of(words: list[str]):
     return lambda w: w.isin(words)
 
 
-def is_english(col) -> F.Column:
-    """English function words outnumber those of each other language."""
-    words = F.split(F.lower(col), r"[^\p{L}]+")
+def is_english(words) -> F.Column:
+    """Of the words, English function words are at least MIN_ENGLISH and more than those of each other language."""
     n = {k: F.size(F.filter(words, _one_of(v.split()))) for k, v in FUNCTION_WORDS.items()}
-    return (n["en"] > 0) & reduce(lambda a, b: a & b, [n["en"] > n[k] for k in n if k != "en"])
+    return (n["en"] >= MIN_ENGLISH * F.size(words)) & reduce(lambda a, b: a & b, [n["en"] > n[k] for k in n if k != "en"])
 
 
 def eligible(documents: DataFrame) -> DataFrame:
-    """(doc_id, text) of English documents of at least MIN_TOKENS tokens that are no event dumps, whatever other columns say."""
+    """(doc_id, words) of English documents of at least MIN_TOKENS tokens that are no event dumps, whatever other columns say."""
     t = F.col("text")
-    return documents.select("doc_id", "text").where(
-        F.col("doc_id").isNotNull() & t.isNotNull() & (token_count(t) >= MIN_TOKENS) & ~is_event_dump(t) & is_english(t)
-    )
+    read = documents.select("doc_id", "text").where(F.col("doc_id").isNotNull() & t.isNotNull() & (token_count(t) >= MIN_TOKENS) & ~is_event_dump(t))
+    return read.select("doc_id", words_of("text").alias("words")).where(is_english(F.col("words")))
 
 
 def votes(labels: DataFrame) -> DataFrame:
@@ -72,27 +72,27 @@ def votes(labels: DataFrame) -> DataFrame:
     )
 
 
-def bags(documents: DataFrame) -> DataFrame:
-    return documents.select("doc_id", F.explode(words_of("text")).alias("word"))
+def fit(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((word, s1..s4), (p1..p4)): log likelihoods of all words in labelled (doc_id, words, level), and log priors in one row."""
+    per = labelled.select("level", F.explode("words").alias("word")).groupBy("word").agg(*[F.count(F.when(F.col("level") == k, 1)).alias(f"c{k}") for k in LEVELS])
+    words = cut(per)
+    total = words.agg(*[F.sum(f"c{k}").alias(f"t{k}") for k in LEVELS], F.count("*").alias("v"))
+    like = words.crossJoin(F.broadcast(total)).select("word", *[F.ln((F.col(f"c{k}") + SMOOTHING) / (F.col(f"t{k}") + SMOOTHING * F.col("v"))).alias(f"s{k}") for k in LEVELS])
+    prior = labelled.agg(*[F.ln((F.count(F.when(F.col("level") == k, 1)) + 1) / (F.count("*") + len(LEVELS))).alias(f"p{k}") for k in LEVELS])
+    return cut(like), prior
 
 
-def fit(labelled: DataFrame) -> DataFrame:
-    """(word, s1..s4): log likelihoods of the MAX_WORDS most frequent words in labelled (doc_id, text, level)."""
-    per = labelled.select("level", F.explode(words_of("text")).alias("word")).groupBy("word").agg(
-        *[F.count(F.when(F.col("level") == k, 1)).alias(f"c{k}") for k in LEVELS], F.count("*").alias("n")
-    )
-    top = cut(per.orderBy(F.desc("n"), "word").limit(MAX_WORDS))
-    total = top.agg(*[F.sum(f"c{k}").alias(f"t{k}") for k in LEVELS], F.count("*").alias("v"))
-    return top.crossJoin(F.broadcast(total)).select(
-        "word", *[F.ln((F.col(f"c{k}") + SMOOTHING) / (F.col(f"t{k}") + SMOOTHING * F.col("v"))).alias(f"s{k}") for k in LEVELS]
-    )
+def score(documents: DataFrame, model: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """(doc_id, level) of the highest posterior for documents (doc_id, words); words the model lacks say nothing; without any known word level is 2.
 
-
-def score(documents: DataFrame, model: DataFrame) -> DataFrame:
-    """(doc_id, level) of the highest likelihood; words the model lacks say nothing; without any known word level is 2."""
-    hit = bags(documents).join(F.broadcast(model), "word").groupBy("doc_id").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in LEVELS])
-    best = F.greatest(*[f"s{k}" for k in LEVELS])
-    level = reduce(lambda c, k: c.when(F.col(f"s{k}") == best, k), LEVELS[1:], F.when(F.col("s1") == best, 1))
+    The words are joined without a hint: the model is a written table, so the join broadcasts it only if its size allows.
+    """
+    like, prior = model
+    said = documents.select("doc_id", F.explode("words").alias("word"))
+    hit = said.join(like, "word").groupBy("doc_id").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in LEVELS]).crossJoin(F.broadcast(prior))
+    post = {k: F.col(f"s{k}") + F.col(f"p{k}") for k in LEVELS}
+    best = F.greatest(*post.values())
+    level = reduce(lambda c, k: c.when(post[k] == best, k), LEVELS[1:], F.when(post[1] == best, 1))
     return documents.select("doc_id").join(hit.select("doc_id", level.cast("bigint").alias("level")), "doc_id", "left").select(
         "doc_id", F.coalesce("level", F.lit(2)).cast("bigint").alias("level")
     )
@@ -100,12 +100,12 @@ def score(documents: DataFrame, model: DataFrame) -> DataFrame:
 
 def reading_levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, level) of every eligible document. Null or out-of-range labels are ignored; without labels every level is 2."""
-    docs = eligible(documents)
+    docs = cut(eligible(documents))
     chosen = votes(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
     labelled = cut(docs.join(F.broadcast(chosen), "doc_id"))
     first = fit(labelled)
     agreed = labelled.join(score(labelled, first).withColumnRenamed("level", "got"), "doc_id").where(F.array_contains("ratings", F.col("got").cast("int")))
-    model = fit(agreed.withColumn("level", F.col("got")))
+    model = fit(cut(agreed.withColumn("level", F.col("got"))))
     return score(docs, model)
 
 

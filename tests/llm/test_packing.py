@@ -45,3 +45,10 @@ def test_oversized_nulls_and_bad_rows(spark, rows):
 def test_report(spark, rule):
     r = P.fill_report(pack(spark, [(i, 50) for i in range(10)], rule=rule)).first()
     assert (r["n_containers"], r["n_items"], r["tokens"], r["fill"], r["lower_bound"]) == (5, 10, 500, 1.0, 5)
+
+
+def test_attention_and_count_refuse_items():
+    t = np.array([90, 10, 10, 60, 40])
+    place = P.pack_group(t, 100, 10, 0.75 * 100**2)
+    assert list(np.bincount(place)) == [1, 2, 2] and place[0] == 0  # 90 is over the attention capacity alone, though 10 would fit beside it
+    assert len(set(P.pack_group(np.ones(9, int), 100, 4, 1e4))) == 3
