@@ -1,10 +1,12 @@
 """Personal information in free text: a character-level bidirectional LSTM with CRF transitions, in numpy.
 
-Texts are read whole. Regions around anything that is not plain wording (a word outside the model's list
-of plain words, four or more digits close together, an at sign) are cut into overlapping windows; a text
-without such a place holds none of the sought types, so nothing is lost there. Windows are decoded by
-Viterbi in batches; where windows overlap, each character takes its label from the window in which it
-lies farther from the edge. Spans are then moved to word borders and checked for what their type must have.
+Texts are read whole. Regions around every place that can be personal data are cut into overlapping windows: a word that
+is not among the model's plain words (no given name is), two capitalised words or initials in a row whatever they are, a
+number before a street word, four or more digits close together, an at sign or its spelling. Outside the regions there
+are only plain words in lower case or alone at the start of a sentence; what is lost there is a name typed wholly in
+lower case of which every word is a plain one and none a common given name. Windows are decoded by Viterbi in batches;
+where windows overlap, each character takes its label from the window in which it lies farther from the edge. Spans are
+then moved to word borders and checked for what their type must have.
 """
 
 from __future__ import annotations
@@ -32,7 +34,9 @@ for _i in range(0x3000):
     _c = chr(_i)
     _TABLE[_i] = _CODE.get(_c, _OTHER_UPPER if _c.isupper() else _OTHER_LOWER if _c.isalpha() else _OTHER)
 
-_PLACE = re.compile(r"[^\W\d_]+|@|[\[({]\s?at\s?[\])}]|\d(?:[\s().:/+-]{0,2}\d){3,}")
+_PARTICLE = "van|von|de|der|da|di|du|del|al|el|la|le"
+_STREET = "street|st|road|rd|avenue|ave|lane|drive|close|court|way|place|square|crescent|terrace|grove|row|walk|mews|gardens|boulevard|hill"
+_PLACE = re.compile(rf"\d+[a-z]?,? (?:[^\W\d_]+ ){{1,3}}(?:{_STREET})\b|\d(?:[\s().:/+-]{{0,2}}\d){{3,}}|[A-ZÀ-Þ][\w'’.-]*,?\s+[A-ZÀ-Þ]|@|[\[({{]\s?at\s?[\])}}]|[^\W\d_]+")
 
 
 def encode(text: str) -> np.ndarray:
@@ -42,11 +46,11 @@ def encode(text: str) -> np.ndarray:
 
 
 def regions(text: str, plain: frozenset[str]) -> list[tuple[int, int]]:
-    """The stretches of text within MARGIN of a place that is not plain wording, joined where they touch."""
+    """The stretches of text within MARGIN of a place that can be personal data, joined where they touch."""
     out: list[tuple[int, int]] = []
     for m in _PLACE.finditer(text):
         w = m[0]
-        if len(w) > 1 and w.lower() in plain or len(w) == 1 and w != "@":
+        if w in plain or w[0].isalpha() and (len(w) == 1 or w.lower() in plain):
             continue
         a, b = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
         if out and a <= out[-1][1]:
@@ -171,15 +175,22 @@ def settle(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
                 b -= 2
         for m in _NO_NAME.finditer(text, a, b):  # the end of the sentence before, and titles
             a = m.end()
+        if re.search(r"\b[A-ZÀ-Þ]", text[a:b]):  # of a name with capitals, words without are no part at its ends
+            first = re.search(rf"\b(?:[A-ZÀ-Þ]|(?:{_PARTICLE})\b)", text[a:b])
+            a += first.start() if first else 0
+            tail = re.search(r"(?:[\s,]+[a-zß-ÿ][\w'’-]*)+$", text[a:b])
+            b -= len(tail[0]) if tail and tail.start() > 0 else 0
         found = text[a:b]
         words = re.findall(r"[^\W\d_]+", found)
-        if len(words) < 2 or max(map(len, words)) < 3 or _DIGITS.search(found):
+        if len(words) < 2 or max(map(len, words)) < 2 or _DIGITS.search(found) or words[-1].lower() in ("street", "road", "rd", "avenue", "crescent"):
             return None
     elif kind == "EMAIL":
         found = found.rstrip(".")
         b = a + len(found)
-        if not re.search(r"@|\bat\b", found, re.I):
+        if not re.search(r"@|\bat\b", found, re.I) or not re.search(r"\.|\bdot\b", found, re.I):
             return None
+        user = re.match(r".*\s(?=[^\W_]\S*\s?[\[({]?\s?\bat\b)", found, re.I | re.S)  # no space stands in the user's part
+        a += user.end() if user and "@" not in found else 0
     elif kind in ("PHONE", "ID"):
         n = len(_DIGITS.findall(found))
         if n < (7 if kind == "PHONE" else 5) or n > 16:
@@ -193,7 +204,7 @@ def settle(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
                 b -= 1
         elif kind == "PHONE" and found.startswith("(") and ")" not in found:
             a += 1
-    elif not _DIGITS.search(found):
+    elif not _DIGITS.search(found) and not ("," in found and re.search(rf"\b(?:{_STREET})\b", found, re.I)):
         return None
     elif found.endswith(".") and not re.search(r"\b(?:St|Rd|Ave)\.$", found):
         b -= 1

@@ -1,13 +1,14 @@
-"""python -m loamgraph.llm.pii_training DIR [EPOCHS]: trains the character tagger on the texts of DIR and writes its weights.
+"""python -m loamgraph.llm.pii_training DIR [SECONDS [SEED]]: trains the character tagger and writes its weights; with a seed it goes on from those written.
 
-Labels come from pii_labels. All texts of DIR are read; of the windows without any label NEGATIVES per
-labelled window are kept. Copies of labelled windows with other digits and in lower or upper case are
-added, so that the tagger learns shapes rather than the values at hand. Adam on the CRF's negative log
-likelihood, gradients written out by hand.
+Labelled texts are invented (pii_samples). DIR gives the sentences between and around the labelled ones: those of its
+documents, and those that many nodes or requests share word for word; and the plain words. Adam on the CRF's negative log likelihood, gradients written out by hand; each batch is shared out to
+WORKERS processes and their gradients are added.
 """
 
 from __future__ import annotations
 
+import multiprocessing
+import os
 import re
 import sys
 import time
@@ -16,49 +17,41 @@ import numpy as np
 
 from . import pii
 from .pii import LABELS, SYMBOLS, TYPES
-from .pii_labels import given_names, spans
-
-HIDDEN, NEGATIVES, COPIES = 32, 2, 6
-
-
-def plain_words(texts: list[str], labelled: list[list[tuple[int, int, str]]], least: int = 5) -> frozenset[str]:
-    """Lower-case words seen outside spans at least `least` times and never inside the span of a name, or of anything else more often than outside."""
-    outside: dict[str, int] = {}
-    inside: dict[str, int] = {}
-    names: set[str] = set()
-    for t, sp in zip(texts, labelled):
-        last = 0
-        for a, b, k in [*sp, (len(t), len(t), "")]:
-            for w in re.findall(r"[^\W\d_]+", t[last:a].lower()):
-                outside[w] = outside.get(w, 0) + 1
-            for w in re.findall(r"[^\W\d_]+", t[a:b].lower()):
-                inside[w] = inside.get(w, 0) + 1
-                if k == "NAME" and len(w) > 1:
-                    names.add(w)
-            last = b
-    return frozenset(w for w, n in outside.items() if n >= least and len(w) > 1 and w not in names and inside.get(w, 0) < n)
-
-
-def examples(texts: list[str], labelled: list[list[tuple[int, int, str]]], plain: frozenset[str], rng: np.random.Generator):
-    hot, cold = [], []
-    for t, sp in zip(texts, labelled):
-        y = np.zeros(len(t), np.int8)
-        for a, b, k in sp:
-            y[a:b] = 2 * TYPES.index(k) + 2
-            y[a] -= 1
-        for a, b in pii.regions(t, plain):
-            for x, z in pii.windows(a, b):
-                (hot if y[x:z].any() else cold).append((t[x:z], y[x:z]))
-    out = list(hot)
-    for s, y in hot:
-        for _ in range(COPIES):
-            r = "".join(str(rng.integers(10)) if c.isdigit() and c.isascii() else c for c in s)
-            u = rng.random()
-            r2 = r.lower() if u < 0.06 else r.upper() if u < 0.1 else r
-            out.append((r2 if len(r2) == len(r) else r, y))
-    keep = rng.permutation(len(cold))[: max(500, NEGATIVES * len(hot))]
-    out += [cold[i] for i in keep]
-    print(len(hot), "labelled windows,", len(cold), "others,", len(out), "examples", flush=True)
+from .pii_samples import GIVEN, Maker, plain_sentences, shared_sentences
+
+HIDDEN, WORKERS, SHARD = 32, 8, 64
+TEXTS = 130_000
+
+
+def plain_words(texts: list[str], least: int = 5) -> frozenset[str]:
+    """Lower-case words seen at least `least` times in lower case; no given name."""
+    n: dict[str, int] = {}
+    for t in texts:
+        for w in re.findall(r"[^\W\d_]+", t):
+            if w.islower() or len(w) < 5:
+                n[w.lower()] = n.get(w.lower(), 0) + 1
+    given = {g.lower() for g in GIVEN}
+    return frozenset(w for w, k in n.items() if k >= least and len(w) > 1 and w not in given)
+
+
+def labels_of(text: str, spans: list[tuple[int, int, str]]) -> np.ndarray:
+    y = np.zeros(len(text), np.int64)
+    for a, b, k in spans:
+        y[a:b] = 2 * TYPES.index(k) + 2
+        y[a] -= 1
+    return y
+
+
+def examples(maker: Maker, n: int, rng: np.random.Generator) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Windows of n invented texts, cut as in a query or anywhere."""
+    out = []
+    for _ in range(n):
+        t, sp = maker.text()
+        x, y = pii.encode(t), labels_of(t, sp)
+        lo = int(rng.integers(0, 60)) if len(t) > 120 and rng.random() < 0.4 else 0
+        for a, b in pii.windows(lo, len(t)):
+            if b - a > 3:
+                out.append((x[a:b], y[a:b]))
     return out
 
 
@@ -73,7 +66,13 @@ class Trainer:
         self.n = 0
 
     def step(self, codes: np.ndarray, gold: np.ndarray, lens: np.ndarray, rate: float) -> float:
-        """One Adam step over codes, gold (time, batch); order of gates: input, forget, output, candidate."""
+        """One Adam step over codes, gold (time, batch)."""
+        loss, grad = self.gradient(codes, gold, lens)
+        self.apply(grad, rate)
+        return loss
+
+    def gradient(self, codes: np.ndarray, gold: np.ndarray, lens: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Loss and gradients over codes, gold (time, batch); order of gates: input, forget, output, candidate."""
         p, H = self.p, HIDDEN
         T, B = codes.shape
         back = codes[::-1]
@@ -149,7 +148,10 @@ class Trainer:
             order = np.argsort(idx, kind="stable")
             edge = np.flatnonzero(np.concatenate(([True], np.diff(idx[order]) > 0)))
             dE[idx[order][edge], k] = np.add.reduceat(flat[order], edge, axis=0)
-        grad |= {"E": dE, "U": dU}
+        return loss, grad | {"E": dE, "U": dU}
+
+    def apply(self, grad: dict[str, np.ndarray], rate: float) -> None:
+        p = self.p
         norm = float(np.sqrt(sum((g * g).sum() for g in grad.values())))
         scale = min(1.0, 5.0 / max(norm, 1e-9))
         self.n += 1
@@ -158,51 +160,58 @@ class Trainer:
             self.m[k] = 0.9 * self.m[k] + 0.1 * g
             self.v[k] = 0.999 * self.v[k] + 0.001 * g * g
             p[k] -= rate * (self.m[k] / (1 - 0.9**self.n)) / (np.sqrt(self.v[k] / (1 - 0.999**self.n)) + 1e-8)
-        return loss
 
 
-def read_texts(folder: str) -> list[str]:
+def read_texts(folder: str) -> tuple[list[str], list[str]]:
+    """The texts of the corpus, which hold no personal data, and those of nodes and requests, which do."""
     import pyarrow.parquet as pq
 
-    out: set[str] = set()
-    for name, col in (("graph_nodes", "content"), ("ingest_requests", "text")):
-        out |= {t for t in pq.read_table(f"{folder}/{name}.parquet", columns=[col])[col].to_pylist() if t}
-    return sorted(out)
-
-
-def main(folder: str, epochs: int, seconds: float) -> None:
-    rng = np.random.default_rng(1)
-    texts = read_texts(folder)
-    given = given_names(texts)
-    labelled = [spans(t, given) for t in texts]
-    plain = plain_words(texts, labelled)
-    share = sum(b - a for t in texts[:4000] for a, b in pii.regions(t, plain)) / sum(map(len, texts[:4000]))
-    print(len(texts), "texts,", len(given), "given names,", len(plain), "plain words, share of characters tagged", round(share, 3), flush=True)
-    data = [(pii.encode(s), y.astype(np.int64)) for s, y in examples(texts, labelled, plain, rng)]
+    get = lambda name, col: sorted({t for t in pq.read_table(f"{folder}/{name}.parquet", columns=[col])[col].to_pylist() if t})
+    return get("documents", "text"), get("graph_nodes", "content") + get("ingest_requests", "text")
+
+
+_DATA: list[tuple[np.ndarray, np.ndarray]] = []
+_LOCAL = Trainer(np.random.default_rng(0))
+
+
+def _share(job: tuple[dict[str, np.ndarray], np.ndarray]) -> tuple[float, dict[str, np.ndarray]]:
+    """Gradient of the windows numbered in the job under its weights."""
+    _LOCAL.p, pick = job
+    T = max(len(_DATA[i][0]) for i in pick)
+    codes, gold, lens = np.zeros((T, len(pick)), np.int16), np.zeros((T, len(pick)), np.int64), np.array([len(_DATA[i][0]) for i in pick])
+    for k, i in enumerate(pick):
+        codes[: lens[k], k], gold[: lens[k], k] = _DATA[i]
+    return _LOCAL.gradient(codes, gold, lens)
+
+
+def main(folder: str, seconds: float, seed: int = 1, go_on: bool = False) -> None:
+    rng = np.random.default_rng(seed)
+    texts, other = read_texts(folder)
+    plain, sentences, shared = plain_words(texts), plain_sentences(texts), shared_sentences(other)
+    _DATA.extend(examples(Maker(seed, sentences, shared=shared), TEXTS, rng))
+    print(len(sentences), "sentences,", len(plain), "plain words,", len(_DATA), "windows", flush=True)
     t = Trainer(rng)
-    lens = np.array([len(s) for s, _ in data])
-    B = 128
-    began = time.time()
-    for epoch in range(epochs):
-        order = np.argsort(lens + rng.uniform(0, 12, len(lens)))
-        batches = [order[i : i + B] for i in range(0, len(order), B)]
-        total = 0.0
-        for n, j in enumerate(rng.permutation(len(batches))):
-            pick = batches[j]
-            T = int(lens[pick].max())
-            codes, gold = np.zeros((T, len(pick)), np.int16), np.zeros((T, len(pick)), np.int64)
-            for k, i in enumerate(pick):
-                codes[: lens[i], k], gold[: lens[i], k] = data[i]
-            left = min(1.0, (epoch + n / len(batches)) / epochs, )
-            left = max(left, (time.time() - began) / seconds)
-            if left > 1:
-                break
-            total += t.step(codes, gold, lens[pick], 0.006 * (1 - left) + 1e-4)
-        print("epoch", epoch, "loss", round(total / len(batches), 4), round(time.time() - began), "s", flush=True)
-        if time.time() - began > seconds:
-            break
+    if go_on:
+        t.p = {k: v.astype(np.float32) for k, v in pii.load()[0].items()}
+    lens = np.array([len(s) for s, _ in _DATA])
+    began, epoch, size = time.time(), 0, WORKERS * SHARD
+    with multiprocessing.get_context("fork").Pool(WORKERS) as pool:
+        while (done := (time.time() - began) / seconds) < 1:
+            order = np.argsort(lens + rng.uniform(0, 12, len(lens)))
+            batches, total, n = [order[i : i + size] for i in range(0, len(order), size)], 0.0, 0
+            for j in rng.permutation(len(batches)):
+                parts = [batches[j][k::WORKERS] for k in range(WORKERS)]
+                got = pool.map(_share, [(t.p, x) for x in parts if len(x)], chunksize=1)
+                t.apply({k: sum(g[k] for _, g in got) / len(got) for k in t.p}, (0.006 if go_on else 0.012) * max(0.0, 1 - done) + 1e-4)
+                total, n = total + sum(x for x, _ in got) / len(got), n + 1
+                done = (time.time() - began) / seconds
+                if done >= 1:
+                    break
+            print("epoch", epoch, "loss", round(total / n, 4), round(time.time() - began), "s", flush=True)
+            epoch += 1
     np.savez_compressed(pii.WEIGHTS, plain=np.array(" ".join(sorted(plain))), **{k: v.astype(np.float16 if k in ("E", "U") else np.float32) for k, v in t.p.items()})
 
 
 if __name__ == "__main__":
-    main(sys.argv[1], int(sys.argv[2]) if len(sys.argv) > 2 else 12, float(sys.argv[3]) if len(sys.argv) > 3 else 900)
+    os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+    main(sys.argv[1], float(sys.argv[2]) if len(sys.argv) > 2 else 900, *([int(sys.argv[3]), True] if len(sys.argv) > 3 else []))
