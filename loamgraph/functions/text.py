@@ -56,11 +56,17 @@ def word_similar(a: Column, b: Column) -> Column:
     return (F.lower(a) == F.lower(b)) | ((short >= 2) & (F.size(F.array_intersect(x, y)) == short))
 
 
+def title_case(text: Column) -> Column:
+    """A capital after everything that is no letter, small letters after letters."""
+    parts = F.split(F.lower(text), r"(?<!\p{L})(?=\p{L})")
+    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1_000_000))), "")
+
+
 def canonical_name(name: Column) -> Column:
     """Trimmed, without a bracketed alias at the end, single spaced; all-lower names get capitals and acronyms their spelling."""
     base = F.trim(name)
     base = F.when(base.rlike(r"^.+?\s*\([^)]+\)$"), F.regexp_extract(base, r"^(.+?)\s*\([^)]+\)$", 1)).otherwise(base)
-    title = F.initcap(base)
+    title = title_case(base)
     for a in ACRONYMS:
         title = F.regexp_replace(title, rf"(?i)\b{a}\b", a)
     return F.trim(F.regexp_replace(F.when(base == F.lower(base), title).otherwise(base), r"\s+", " "))
@@ -126,6 +132,11 @@ def is_schema_name(name: Column) -> Column:
     return name.rlike("^ncx_[a-z0-9]+__[a-z0-9_]+$")
 
 
+def lock_key(text: Column) -> Column:
+    """The first 16 hex digits of the SHA-256 as a number below 2**63 - 1."""
+    return (F.conv(F.substring(F.sha2(text, 256), 1, 16), 16, 10).cast("decimal(20,0)") % F.lit(2**63 - 1).cast("decimal(20,0)")).cast("bigint")
+
+
 def role_name(subject: Column) -> Column:
     return F.concat(F.lit("role_"), F.substring(slug(subject), 1, 46))
 

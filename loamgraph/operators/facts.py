@@ -27,3 +27,19 @@ def apply_facts(store: DataFrame, new: DataFrame) -> DataFrame:
 def conflicts(facts: DataFrame) -> DataFrame:
     """(entity, property, n_values) where an entity has several values of one property."""
     return facts.groupBy("entity", "property").agg(F.count("*").alias("n_values")).where("n_values > 1")
+
+
+def first_properties(mentions: DataFrame) -> DataFrame:
+    """(property, first_message): the history row a property gets when it is first inserted."""
+    return mentions.where("property is not null").groupBy("property").agg(F.min("message").alias("first_message"))
+
+
+def last_entities(seen: DataFrame) -> DataFrame:
+    """(entity, label, message) of seen (entity, label, message): the label of the last message counts, the smallest label if it gave several."""
+    return seen.where("entity is not null").groupBy("entity").agg(F.max("message").alias("message"), F.min_by("label", F.struct((-F.col("message")).alias("m"), "label")).alias("label")).select("entity", "label", "message")
+
+
+def mentions_of(mentions: DataFrame) -> DataFrame:
+    """(fact, message) once each: a fact mentioned again by a message adds nothing."""
+    m = mentions.where("entity is not null and property is not null and value is not null")
+    return m.select(signature(F.col("entity"), F.col("property"), F.col("value")).alias("fact"), "message").distinct()

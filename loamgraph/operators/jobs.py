@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import numbered
+
 
 def timeline(jobs: DataFrame, events: DataFrame) -> DataFrame:
     """(id, task_name, status, deferred_at, started_at, finished_at): first deferral, last start, last end; null where there is none."""
@@ -31,9 +33,20 @@ def cancel(jobs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def retry(jobs: DataFrame, ids: DataFrame) -> DataFrame:
     """New waiting jobs for the failed or cancelled ones among ids, numbered after the largest id in id order."""
-    from pyspark.sql import Window
-
     hit = jobs.where("status in ('failed', 'cancelled')").join(ids.select("id").distinct(), "id", "left_semi")
     top = jobs.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    nr = F.row_number().over(Window.orderBy("id"))
-    return hit.withColumn("nr", nr).crossJoin(F.broadcast(top)).withColumn("old_id", F.col("id")).withColumn("id", F.col("top") + F.col("nr")).withColumn("status", F.lit("todo")).drop("top", "nr")
+    return numbered(hit, ["id"], "nr").crossJoin(F.broadcast(top)).withColumn("old_id", F.col("id")).withColumn("id", F.col("top") + F.col("nr")).withColumn("status", F.lit("todo")).drop("top", "nr")
+
+
+def enqueue(episodes: DataFrame, queue: str = "extraction") -> DataFrame:
+    """(episode_id, task_name, queue_name, status, attempts): a waiting job per episode (id, graph_name), to be routed first where it names no graph."""
+    return episodes.where("id is not null").select(
+        F.col("id").alias("episode_id"), F.when(F.col("graph_name").isNull(), "route_episode").otherwise("extract_episode").alias("task_name"), F.lit(queue).alias("queue_name"),
+        F.lit("todo").alias("status"), F.lit(0).cast("bigint").alias("attempts"),
+    ).distinct()
+
+
+def run_attempts(waiting: DataFrame, works: Column, most: int = 3) -> DataFrame:
+    """Jobs after at most `most` attempts: a job whose condition holds succeeds at the first, one that fails is tried again until none are left; null fails."""
+    ok = F.coalesce(works, F.lit(False))
+    return waiting.withColumn("attempts", F.when(ok, 1).otherwise(most).cast("bigint")).withColumn("status", F.when(ok, "succeeded").otherwise("failed"))

@@ -8,6 +8,25 @@ from pyspark.sql import functions as F
 from ..functions.text import set_similarity, trigrams
 
 
+def look_up(asked: DataFrame, names: DataFrame, threshold: float) -> DataFrame:
+    """(grp, name, other, sim): different names (grp, name) of trigram similarity of at least threshold (above 0) with each different asked (grp, name).
+
+    A name of similarity t shares at least t of the asked trigrams, so only the floor(|a| (1 - t)) + 1 of them are looked up
+    that the fewest names have. Sets are compared as a whole for names met so.
+    """
+    q = asked.where("grp is not null and name is not null").select("grp", "name").distinct().select("grp", "name", trigrams(F.col("name")).alias("gq"))
+    sets = names.where("grp is not null and name is not null").select("grp", F.col("name").alias("other")).distinct().select("grp", "other", trigrams(F.col("other")).alias("gn"))
+    of_names = sets.select("grp", "other", F.size("gn").alias("b"), F.explode("gn").alias("gram"))
+    of_asked = q.select("grp", "name", F.size("gq").alias("a"), F.explode("gq").alias("gram"))
+    freq = of_names.join(of_asked.select("grp", "gram").distinct(), ["grp", "gram"], "left_semi").groupBy("grp", "gram").agg(F.count("*").alias("df"))
+    w = Window.partitionBy("grp", "name").orderBy(F.coalesce("df", F.lit(0)), "gram")
+    head = of_asked.join(freq, ["grp", "gram"], "left").withColumn("r", F.row_number().over(w)).where((F.col("r") <= F.floor(F.col("a") * (1 - threshold)) + 1) & F.col("df").isNotNull())
+    may = (F.col("a") >= threshold * F.col("b")) & (F.col("b") >= threshold * F.col("a"))
+    met = head.select("grp", "gram", "name", "a").join(of_names, ["grp", "gram"]).where(may).select("grp", "name", "other").distinct()
+    sim = met.join(q, ["grp", "name"]).join(sets, ["grp", "other"]).select("grp", "name", "other", set_similarity(F.col("gq"), F.col("gn")).alias("sim"))
+    return sim.where(F.col("sim") >= threshold)
+
+
 def trigram_pairs(named: DataFrame, threshold: float, group: str | None = None) -> DataFrame:
     """(id_a, id_b, sim) with id_a < id_b and trigram similarity of at least threshold (above 0), within a group if one is named.
 

@@ -13,6 +13,7 @@ from ..functions import scoring as S
 from ..functions import text as T
 from ..functions import vectors as X
 from .graph import spreading_activation
+from .pairs import look_up
 from .sessions import clustered, neighbours
 
 DIM, MAX_DISTANCE = 64, 0.5
@@ -93,10 +94,10 @@ def cascade(queries: DataFrame, nodes: DataFrame, aliases: DataFrame, threshold:
     q = queries.select("query").distinct()
     exact = q.join(nodes.where("name is not null"), F.lower("query") == F.lower("name")).select("query", "id", F.lit("1_exact").alias("match_type"), F.lit(1.0).alias("sim"))
     alias = q.join(aliases, F.lower("query") == F.lower("alias")).select("query", F.col("node_id").alias("id"), F.lit("2_alias").alias("match_type"), F.lit(1.0).alias("sim"))
-    left = q.join(exact.unionByName(alias).select("query"), "query", "left_anti").select("query", T.trigrams(F.col("query")).alias("gq"))
-    names = nodes.where("name is not null").select("id", T.trigrams(F.col("name")).alias("gn"))
-    share = left.select("query", "gq", F.explode("gq").alias("g")).join(names.select("id", "gn", F.explode("gn").alias("g")), "g").groupBy("query", "id").agg(F.count("*").alias("c"), F.first(F.size("gq")).alias("a"), F.first(F.size("gn")).alias("b"))
-    sim = share.select("query", "id", F.round(F.col("c") / (F.col("a") + F.col("b") - F.col("c")), 6).alias("sim")).where(F.col("sim") >= threshold)
+    left = q.join(exact.unionByName(alias).select("query"), "query", "left_anti")
+    named = nodes.where("name is not null")
+    near = look_up(left.select(F.lit("").alias("grp"), F.col("query").alias("name")), named.select(F.lit("").alias("grp"), "name"), threshold)
+    sim = near.select(F.col("name").alias("query"), F.col("other").alias("name"), F.round("sim", 6).alias("sim")).join(named.select("id", "name"), "name").select("query", "id", "sim")
     w = Window.partitionBy("query").orderBy(F.desc("sim"), "id")
     fuzzy = sim.withColumn("r", F.row_number().over(w)).where("r <= 5").select("query", "id", F.lit("3_fuzzy").alias("match_type"), "sim")
     both = exact.unionByName(alias).unionByName(fuzzy)

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.scoring import reinforced
+from ..runtime import numbered
+from .pairs import look_up
 
 # Groups of node types whose names drift into each other, and pairs that never mean the same.
 MERGE_SAFE = [
@@ -68,10 +70,10 @@ def match_nodes(delta: DataFrame, nodes: DataFrame, aliases: DataFrame, threshol
     a = aliases.select(F.col("graph_name").alias("ag"), F.lower("alias").alias("alias"), F.col("node_id").alias("aid"))
     al = d.join(a, (d["graph_name"] == a["ag"]) & (d["key"] == a["alias"])).join(n.select(F.col("node_id").alias("aid"), "ntype"), "aid").select("graph_name", "key", "type_name", F.col("aid").alias("node_id"), "ntype", F.lit(2).alias("tier"), F.lit(1.0).alias("sim"))
     known = exact.unionByName(al)
-    left = d.join(known.select("graph_name", "key"), ["graph_name", "key"], "left_anti").withColumn("gq", T.trigrams(F.col("key")))
-    gn = n.withColumn("gn", T.trigrams(F.col("nkey"))).select("graph_name", "node_id", "ntype", F.size("gn").alias("b"), F.explode("gn").alias("g"))
-    hit = left.select("graph_name", "key", "type_name", F.size("gq").alias("a"), F.explode("gq").alias("g")).join(gn, ["graph_name", "g"])
-    sim = hit.groupBy("graph_name", "key", "type_name", "node_id", "ntype").agg((F.count("*") / (F.first("a") + F.first("b") - F.count("*"))).alias("sim")).where(F.col("sim") >= threshold)
+    left = d.join(known.select("graph_name", "key"), ["graph_name", "key"], "left_anti")
+    near = look_up(left.select(F.col("graph_name").alias("grp"), F.col("key").alias("name")), n.select(F.col("graph_name").alias("grp"), F.col("nkey").alias("name")), threshold)
+    named = near.select(F.col("grp").alias("graph_name"), F.col("name").alias("key"), F.col("other").alias("nkey"), "sim")
+    sim = named.join(left, ["graph_name", "key"]).join(n, ["graph_name", "nkey"]).select("graph_name", "key", "type_name", "node_id", "ntype", "sim")
     both = known.unionByName(sim.withColumn("tier", F.lit(3)).select(known.columns))
     ok = both.where(F.col("type_name").isNull() | F.col("ntype").isNull() | merge_safe(F.col("ntype"), F.col("type_name")))
     w = Window.partitionBy("graph_name", "key").orderBy("tier", F.desc("sim"), F.desc(F.coalesce(F.col("ntype") == F.col("type_name"), F.lit(False))), "node_id")
@@ -93,8 +95,7 @@ def upsert_nodes(nodes: DataFrame, matched: DataFrame, as_of: str) -> DataFrame:
         (F.col("forgotten") & F.col("hit").isNull()).alias("forgotten"), F.when(F.col("hit"), now).otherwise(F.col("updated_at")).alias("updated_at"),
     )
     top = nodes.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    nr = F.row_number().over(Window.orderBy("graph_name", "key"))
-    new = matched.where("node_id is null").withColumn("nr", nr).crossJoin(F.broadcast(top)).select(
+    new = numbered(matched.where("node_id is null"), ["graph_name", "key"], "nr").crossJoin(F.broadcast(top)).select(
         "graph_name", (F.col("top") + F.col("nr")).cast("bigint").alias("id"), "name", "content", F.coalesce("importance", F.lit(0.5)).alias("importance"),
         F.lit(0).alias("access_count"), F.lit(False).alias("forgotten"), now.alias("updated_at"),
     )
@@ -145,6 +146,27 @@ def merge_types(nodes: DataFrame, types: DataFrame, merges: dict[str, str] = TYP
     return out, types.join(move, types["id"] == move["src_id"], "left_anti")
 
 
+def mapped_types(nodes: DataFrame, types: DataFrame, merges: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """As merge_types, but a missing target type is created, with the ids after the largest in order of name; its rows have no other columns."""
+    have = {r["name"] for r in types.select("name").collect()}  # the type list is short and fixed
+    top = types.agg(F.max("id")).first()[0] or 0
+    missing = sorted({b for a, b in merges.items() if a in have} - have)
+    made = types.sparkSession.createDataFrame([(top + i, n) for i, n in enumerate(missing, 1)], "id bigint, name string")
+    return merge_types(nodes, types.unionByName(made, allowMissingColumns=True), merges)
+
+
+def resolve_ends(asked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Adds source_id, target_id and state to edges asked for by names (graph_name, source, target, ...): ends are the smallest node id of the name in the graph, case aside.
+
+    state: 'found', or which end is missing, the source first.
+    """
+    n = nodes.where("name is not null").groupBy("graph_name", F.lower("name").alias("k")).agg(F.min("id").alias("i"))
+    out = asked
+    for end in ("source", "target"):
+        out = out.withColumn("k", F.lower(end)).join(n.withColumnRenamed("i", f"{end}_id"), ["graph_name", "k"], "left").drop("k")
+    return out.withColumn("state", F.when(F.col("source_id").isNull(), "source missing").when(F.col("target_id").isNull(), "target missing").otherwise("found"))
+
+
 def unused_types(types: DataFrame, used: DataFrame, keep: list[str], before: Column | None = None) -> DataFrame:
     """Types outside keep that no row of used (type_id) has, created before a time if one is given."""
     t = types.where(~F.col("name").isin(keep))
@@ -153,6 +175,21 @@ def unused_types(types: DataFrame, used: DataFrame, keep: list[str], before: Col
     return t.join(used.where("type_id is not null").select(F.col("type_id").alias("id")), "id", "left_anti")
 
 
+def unused_per_graph(types: DataFrame, used: DataFrame, keep: list[str], before: Column | None = None) -> DataFrame:
+    """The types of unused_types, per graph of used (graph_name, type_id); the type list is short and fixed."""
+    own = used.where("graph_name is not null").select("graph_name", F.col("type_id").alias("id")).distinct()
+    t = types.where(~F.col("name").isin(keep))
+    if before is not None:
+        t = t.where(F.col("created_at") < before)
+    return own.select("graph_name").distinct().crossJoin(F.broadcast(t)).join(own, ["graph_name", "id"], "left_anti")
+
+
+def set_embedding(nodes: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Nodes with the embeddings given in vectors (id, new); the others and null vectors leave theirs. Of several vectors of an id one is taken."""
+    one = vectors.where("id is not null").groupBy("id").agg(F.first("new", ignorenulls=True).alias("new"))
+    return nodes.join(one, "id", "left").withColumn("embedding", F.coalesce("new", "embedding")).drop("new")
+
+
 def write_version(df: DataFrame, root: str, version: int) -> str:
     """Write a table version under root; a version is written once."""
     path = f"{root}/v{version:06d}"

@@ -54,13 +54,8 @@ def r5_routed(s, d):
 
 
 def r6_seed_source(s, d):
-    """A domain's schema is its own, else the nearest ancestor's up to three levels; parents are joined level by level."""
-    p = V.domains(s, d).select("id", "parent_id", "schema_name")
-    out = p.select("id", "schema_name", F.col("parent_id").alias("up"))
-    for _ in range(3):
-        q = p.select(F.col("id").alias("up"), F.col("schema_name").alias("s2"), F.col("parent_id").alias("up2"))
-        out = out.join(q, "up", "left").select("id", F.coalesce("schema_name", "s2").alias("schema_name"), F.col("up2").alias("up"))
-    return out.select("id", "schema_name")
+    """A domain's schema is its own, else the nearest ancestor's."""
+    return routing.inherited(V.domains(s, d).select("id", "parent_id", "schema_name"))
 
 
 def r7_roles(s, d):
@@ -97,12 +92,13 @@ SQL = {
       union select agent_id, graph_name, purpose from pm join rg using (graph_name) where is_shared
       union select agent_id, graph_name, purpose from ag, rg where is_admin and is_shared)
       select agent_id, graph_name, cast(case when purpose = 'personal' then 0 else 1 end as bigint) as priority from x"""),
-    "r6_seed_source": sql("dom", "select a.id, coalesce(a.schema_name, b.schema_name, c.schema_name, e.schema_name) as schema_name from dom a left join dom b on b.id = a.parent_id left join dom c on c.id = b.parent_id left join dom e on e.id = c.parent_id"),
+    "r6_seed_source": "with recursive " + V.SQL["dom"] + """, up as (select id, id as cur, schema_name, parent_id from dom
+      union select up.id, dom.id, dom.schema_name, dom.parent_id from up join dom on dom.id = up.parent_id where up.schema_name is null) select id, max(schema_name) as schema_name from up group by 1""",
     "r7_roles": f"with {_AG} select agent_id, 'role_' || left(trim(regexp_replace(lower(agent_id), '[^a-z0-9]+', '_', 'g'), '_'), 46) as role from ag",
     "q19_health": sql("n e ep", _HEALTH + "select graph_name, n_live, n_types, round(top_share, 6) as top_share, n_edges, n_routed from h"),
     "q19_proposals": sql("n e ep", _HEALTH + "select graph_name, 'split' as proposal from h where n_live >= 10 and n_types >= 6 and top_share <= 0.4 union all select graph_name, 'retire' from h where n_routed <= 1 and (select max(n_routed) from h) > 0"),
 }
 from .scalars import SQL as _SCALAR  # noqa: E402
 
-SQL["r5_routed"] = _SCALAR["t13_keywords"].replace("select id, slug, 0.6", f", {_PERM}, {_REG}, hit as (select id, agent_id, slug, 0.6", 1).replace("\n      , pm", ",\n      pm").replace("with ", f"with {V.SQL['n']},\n", 1) + ") select id, hit.agent_id, slug, rg.graph_name, confidence from hit join rg on rg.is_shared and rg.purpose = hit.slug join pm on pm.agent_id = hit.agent_id and pm.graph_name = rg.graph_name and can_write"
+SQL["r5_routed"] = _SCALAR["t13_keywords"].replace("select id, slug, 0.8", f", {_PERM}, {_REG}, hit as (select id, agent_id, slug, 0.8", 1).replace("\n      , pm", ",\n      pm").replace("with ", f"with {V.SQL['n']},\n", 1) + ") select id, hit.agent_id, slug, rg.graph_name, confidence from hit join rg on rg.is_shared and rg.purpose = hit.slug join pm on pm.agent_id = hit.agent_id and pm.graph_name = rg.graph_name and can_write"
 SQL["r5_routed"] = SQL["r5_routed"].replace("v(slug, words))\n      , pm as", "v(slug, words)), pm as")

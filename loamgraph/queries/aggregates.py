@@ -64,8 +64,9 @@ def j6_live_usage(s, d):
 
 def j7_unused(s, d):
     t = V.edge_types(s, d).select(F.col("id").alias("type_id"), "name")
-    big = V.edges(s, d).where("weight > 1.4999 and graph_name like 'ncx_ember%'").select("type_id")
-    return t.join(big, "type_id", "left_anti").select("type_id", "name")
+    e = V.edges(s, d).where("graph_name is not null").select("graph_name", "type_id").distinct()
+    every = e.select("graph_name").distinct().crossJoin(F.broadcast(t))  # the type list is fixed
+    return every.join(e, ["graph_name", "type_id"], "left_anti").select("graph_name", "type_id", "name")
 
 
 def j8_similar_names(s, d):
@@ -300,7 +301,7 @@ SQL = {
     "j4_connected_types": sql("n e", f"select distinct n.type_id as node_type_id, e.type_id as edge_type_id from e join n on {_SIG} (n.id = e.source_id or n.id = e.target_id) where n.type_id is not null and e.type_id is not null"),
     "j5_usage": sql("n nt", "select nt.name, count(n.id) as n_nodes from nt left join n on n.type_id = nt.id group by nt.id, nt.name"),
     "j6_live_usage": sql("n nt", "select nt.name, count(n.id) as n_live from nt left join n on n.type_id = nt.id and not n.forgotten group by nt.id, nt.name"),
-    "j7_unused": sql("e et", "select et.id as type_id, et.name from et left join (select distinct type_id from e where weight > 1.4999 and graph_name like 'ncx_ember%') x on x.type_id = et.id where x.type_id is null"),
+    "j7_unused": sql("e et", ", gs as (select distinct graph_name from e where graph_name is not null), x as (select distinct graph_name, type_id from e) select gs.graph_name, et.id as type_id, et.name from gs cross join et left join x on x.type_id = et.id and x.graph_name = gs.graph_name where x.type_id is null"),
     "j8_similar_names": sql("n", f""", x as (select id, name, graph_name from n where not forgotten and name is not null),
       p as (select a.id as id_a, b.id as id_b, {tri_sim('a.name', 'b.name')} as s from x a join x b on a.graph_name = b.graph_name and a.id < b.id) select id_a, id_b, round(s, 6) as sim from p where s >= 0.6"""),
     "j9_prefix_pairs": sql("et", "select a.name, b.name as name2 from et a join et b on left(a.name, 4) = left(b.name, 4) and a.id < b.id"),

@@ -94,8 +94,10 @@ def z14_seed_use(s, d):
     from ..operators.store import SEED_NODE_TYPES
 
     seed = V.node_types(s, d).where(F.col("name").isin(SEED_NODE_TYPES))
-    n = V.nodes(s, d, "type_id", "graph_name").where("graph_name like 'ncx_ember%'").groupBy("type_id").agg(F.count("*").alias("n"))
-    return seed.join(F.broadcast(n), seed["id"] == n["type_id"], "left").select("name", F.coalesce("n", F.lit(0)).alias("n"))
+    n = V.nodes(s, d, "type_id", "graph_name").where("graph_name is not null")
+    per = n.groupBy("graph_name", F.col("type_id").alias("id")).agg(F.count("*").alias("n"))
+    every = n.select("graph_name").distinct().crossJoin(F.broadcast(seed.select("id", "name")))  # the seed types are fixed
+    return every.join(per, ["graph_name", "id"], "left").select("graph_name", "name", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def z14_last_error(s, d):
@@ -159,4 +161,4 @@ SQL = {
 }
 from ..operators.store import SEED_NODE_TYPES as _SEED  # noqa: E402
 
-SQL["z14_seed_use"] = sql("n nt", f"select nt.name, count(n.id) as n from nt left join n on n.type_id = nt.id and graph_name like 'ncx\\_ember%' escape '\\' where nt.name in ({', '.join(repr(x) for x in _SEED)}) group by 1")
+SQL["z14_seed_use"] = sql("n nt", f", gs as (select distinct graph_name from n where graph_name is not null) select gs.graph_name, nt.name, count(n.id) as n from gs cross join nt left join n on n.type_id = nt.id and n.graph_name = gs.graph_name where nt.name in ({', '.join(repr(x) for x in _SEED)}) group by 1, 2")

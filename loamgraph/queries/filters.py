@@ -172,8 +172,10 @@ def f17_used_types(s, d):
 
 
 def f18_empty_types(s, d):
-    used = V.nodes(s, d, "type_id", "graph_name").where("type_id is not null and graph_name like 'ncx_ember0%'").select(F.col("type_id").alias("id"))
-    return V.node_types(s, d).join(used, "id", "left_anti").select("id", "name")
+    """Per graph the types that none of its nodes has."""
+    n = V.nodes(s, d, "type_id", "graph_name").where("graph_name is not null").select("graph_name", F.col("type_id").alias("id")).distinct()
+    every = n.select("graph_name").distinct().crossJoin(F.broadcast(V.node_types(s, d).select("id", "name")))  # the type list is fixed
+    return every.join(n, ["graph_name", "id"], "left_anti").select("graph_name", "id", "name")
 
 
 def f19_gravity_wells(s, d):
@@ -266,7 +268,7 @@ SQL = {
     "f15_optional": sql("ep", "select id, batch_no from ep where agent_id = 'agent_atlas'"),
     "f16_keyset": sql("ep", "select id, created_at from ep where (created_at, id) < (select (max(created_at), max_by(id, (created_at, id))) from ep) order by created_at desc, id desc limit 50"),
     "f17_used_types": sql("n nt", "select id, name from nt where exists (select 1 from n where n.type_id = nt.id and not forgotten)"),
-    "f18_empty_types": sql("n nt", "select id, name from nt where id not in (select type_id from n where type_id is not null and graph_name like 'ncx_ember0%')"),
+    "f18_empty_types": sql("n nt", ", gs as (select distinct graph_name from n where graph_name is not null) select graph_name, id, name from gs, nt where id not in (select type_id from n where type_id is not null and n.graph_name = gs.graph_name)"),
     "f19_gravity_wells": sql("n", "select id, cast(access_count as bigint) as access_count from n where access_count > (select avg(access_count) + 2 * stddev_samp(access_count) from n)"),
     "f20_excerpt": sql("n", "select id, left(content, 80) as excerpt from n"),
     "f21_default": sql("n nt", "select n.id, coalesce(nt.name, 'Untyped') as type_name, cast(coalesce(length(content), 0) as integer) as n_chars from n left join nt on nt.id = n.type_id"),

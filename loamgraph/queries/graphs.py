@@ -76,7 +76,7 @@ SQL = {
       l1 as (select s.graph_name, seed, b as node, max(en * w * 0.6) as en from sd s join ad on ad.graph_name = s.graph_name and a = seed where b <> seed group by 1, 2, 3),
       l2 as (select s.graph_name, seed, b as node, max(en * w * 0.6) as en from l1 s join ad on ad.graph_name = s.graph_name and a = node where b <> seed and not exists (select 1 from l1 x where x.seed = s.seed and x.node = b) group by 1, 2, 3),
       t as (select node, sum(en) as en from (select node, en from l1 union all select node, en from l2) group by 1) select node, round(en / (select max(en) from t), 5) as bonus from t"""),
-    "n8_session_links": sql("n ev", """, x as (select try_cast(properties['_source_episode'] as bigint) % 10000 as episode_id, created_at, id from n), fn as (select episode_id, min_by(id, (created_at, id)) as node_id from x where episode_id is not null group by 1),
+    "n8_session_links": sql("n ev", """, x as (select try_cast(properties['_source_episode'] as bigint) as episode_id, created_at, id from n), fn as (select episode_id, min_by(id, (created_at, id)) as node_id from x where episode_id is not null group by 1),
       pv as (select id, lag(id) over (partition by agent_id, session_id order by created_at, id) as prev_id from ev)
       select distinct a.node_id as source_id, b.node_id as target_id, 0.9::double as weight from pv join fn a on a.episode_id = pv.id join fn b on b.episode_id = pv.prev_id where a.node_id <> b.node_id"""),
     "n9_cascade": sql("n e", ", g as (select graph_name, id from n where forgotten) select e.graph_name, count(*) as n_edges from e where not exists (select 1 from g where g.graph_name = e.graph_name and (g.id = e.source_id or g.id = e.target_id)) group by 1"),

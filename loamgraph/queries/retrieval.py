@@ -11,9 +11,10 @@ from ..operators import retrieval as R
 from ..runtime import cut, table
 from ..views import AS_OF, sql
 from .aggregates import triples
+from .integrity import _P1
 from .filters import SIM, TRI, tri_sim
 from .ordered import examples_per_type
-from .scalars import ACT, REC
+from .scalars import _T3, ACT, REC
 
 QUERY, LIMIT = "weekly database", 10
 
@@ -150,9 +151,14 @@ def q18_listing(s, d):
 
 
 def q20_paths(s, d):
-    from .integrity import p1_found
+    """The domain tree: every domain with its path and the number of its children."""
+    from ..operators import hierarchy as H
+    from .integrity import records
 
-    return p1_found(s, d).where("tree = 'domain' and node_depth between 0 and 3").select("node_key", "full_path")
+    rec = cut(records(s, d).where("grp = 'domain'"))
+    kids = rec.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("n_children"))
+    placed = H.hierarchy(rec).where("depth >= 0").join(kids, "node", "left")
+    return placed.select(F.col("node").alias("node_key"), F.col("path").alias("full_path"), F.coalesce("n_children", F.lit(0)).alias("n_children"))
 
 
 def q21_used_types(s, d):
@@ -240,8 +246,8 @@ SQL = {
     "q17_between": sql("n e et", _TRI3 + "select least(src, tgt) as a, greatest(src, tgt) as b, count(*) as n_edges, string_agg(distinct rel, ',' order by rel) as rels from tr where src is not null and tgt is not null group by 1, 2"),
     "q18_listing": sql("ep jb jv", """, t as (select id, status, (select max(jv.at) from jv where job_id = jb.id and type = 'started') as st, (select max(jv.at) from jv where job_id = jb.id and type in ('succeeded', 'failed')) as fi from jb)
       select id, status, round((epoch_us(fi) - epoch_us(st)) / 1e6::double, 3) as seconds from t where fi is not null order by id desc limit 100"""),
-    "q20_paths": sql("dom", """, lk as (select a.id, b.id as p, a.slug from dom a left join dom b on b.id = a.parent_id),
-      l0 as (select id, slug as path from lk where p is null), l1 as (select lk.id, path || '.' || slug as path from lk join l0 on l0.id = p), l2 as (select lk.id, path || '.' || slug as path from lk join l1 on l1.id = p), l3 as (select lk.id, path || '.' || slug as path from lk join l2 on l2.id = p)
-      select cast(id as varchar) as node_key, path as full_path from (select * from l0 union all select * from l1 union all select * from l2 union all select * from l3)"""),
+    "q22_propose": f"with z as ({_T3}), a as (select distinct label as asked, type_name as normal from ontology_classes c join z using (class_id) where label is not null), h as (select asked, t.name as have, round({tri_sim('normal', 't.name')}, 6) as sim from a cross join graph_node_types t where normal is not null),"
+    " b as (select asked, max_by(have, (sim, have)) as most_similar, max(sim) as sim from h where sim > 0.2 group by 1) select asked, normal, most_similar, sim, normal is not null and coalesce(sim, 0) < 1 as accepted from a left join b using (asked)",
+    "q20_paths": _P1 + """select k as node_key, path as full_path, (select count(*) from lk c where c.tree = 'domain' and c.p = alls.k) as n_children from alls where tree = 'domain' and depth >= 0""",
     "q21_used_types": sql("n nt", _USE + "select name, n from us where n > 0"),
 }

@@ -222,6 +222,29 @@ REC = f"pow(2.0::double, -({_HRS}) / 168.0)"
 ACT = f"(1 / (1 + exp(-(ln(pow(coalesce(access_count, 0)::double, 0.5) + 1) - 0.5 * ln(coalesce({_HRS.format('last_accessed_at')}, 0.0) + 1)))))"
 _CLEAN = "trim(regexp_replace({0}, '[^A-Za-z0-9_ \\-]', '', 'g'))"
 _SLUG = "trim(regexp_replace(lower(trim({0})), '[^a-z0-9]+', '_', 'g'), '_')"
+_ACRONYMS = "u"
+for _a in T.ACRONYMS:
+    _ACRONYMS = f"regexp_replace({_ACRONYMS}, '\\b{_a}\\b', '{_a}', 'gi')"
+
+
+def canonical_sql(source: str) -> str:
+    """canon: the rows of source (with name) and their canonical name, as common table expressions for the oracle."""
+    return rf"""canon0 as (select *, trim(name) as t_, case when regexp_matches(trim(name), '^.+?\s*\([^)]+\)$') then regexp_extract(trim(name), '^(.+?)\s*\([^)]+\)$', 1) else trim(name) end as s_ from {source}),
+      canon1 as (select *, array_to_string(list_transform(regexp_extract_all(lower(s_), '[a-z]+|[^a-z]+'), lambda p: upper(p[1]) || p[2:]), '') as u from canon0),
+      canon as (select * exclude (t_, s_, u), trim(regexp_replace(case when s_ = lower(s_) then {_ACRONYMS} else s_ end, '\s+', ' ', 'g')) as canonical from canon1)"""
+
+
+# labels and class ids are of plain words; each rule of the type names in its order
+_T3 = r"""with c as (select distinct class_id, label from ontology_classes where label is not null),
+  k as (select class_id, label, trim(regexp_replace(label, '[^A-Za-z0-9_ -]', '', 'g')) as a, trim(regexp_replace(class_id, '[^A-Za-z0-9_ -]', '', 'g')) as b from c),
+  w as (select *, """ + ", ".join(
+    f"case when regexp_matches({x}, '[_ -]') then array_to_string(list_transform(list_filter(string_split_regex({x}, '[_ -]+'), lambda p: p <> ''), lambda p: upper(p[1]) || lower(p[2:])), '') when {x} = lower({x}) then upper({x}[1]) || lower({x}[2:]) else upper({x}[1]) || {x}[2:] end as {x}_out, "
+    f"regexp_extract_all({x}, '[A-Z][a-z]+|[A-Z]+|[0-9]+') as {x}_seg" for x in ("a", "b")
+) + """ from k),
+  r as (select *, """ + ", ".join(
+    f"case when {x} = '' then 'empty' when length({x}) < 2 then 'too short' when regexp_matches({x}, '{T.ARTIFACT}') then 'artifact' when len({x}_seg) >= 2 and {x}_seg[1] in ({', '.join(repr(t) for t in T.BASE_TYPES)}) then 'instance level' when length({x}) > 60 then 'too long' when len({x}_seg) > 5 then 'too many segments' end as {x}_no" for x in ("a", "b")
+) + """ from w)
+  select distinct class_id, case when a_no is null and regexp_matches(a_out, '^[A-Z][A-Za-z0-9]*$') then a_out end as type_name, case when b_no is null and regexp_matches(b_out, '^[A-Z][A-Za-z0-9]*$') then b_out end as from_id, a_no as reason from r"""
 SQL = {
     "m1_recency": sql("n", f"select id, round({REC.format('greatest(created_at, updated_at)')}, 6) as recency from n"),
     "m2_stm_boost": """with x as (select event_id, greatest((epoch_us(timestamp '2024-01-15 12:00:00') - epoch_us(ts)) / 3.6e9::double, 0.0) as h from events)
@@ -248,6 +271,10 @@ SQL = {
       select id, name from x where lower(name) = 'heavy garden' or (least(len(w), 2) >= 2 and len(list_intersect(w, ['heavy', 'garden'])) = least(len(w), 2))"""),
     "v4_text_rank": sql("n", """, x as (select id, len(list_filter(string_split_regex(lower(coalesce(content, '')), '[^a-z0-9]+'), lambda w: w in ('weekly', 'report')))::double as tf from n)
       select id, round(tf / (tf + 1), 6) as rank from x where tf > 0"""),
+    "t1_canonical": sql("n", ", b as (select id, name from n where regexp_matches(name, '^[ -~]*$')), " + canonical_sql("b") + r"""
+      select id, canonical, nullif(trim(regexp_extract(trim(name), '^.+?\s*\(([^)]+)\)$', 1)), '') as alias from canon"""),
+    "t5_segments": "select id, len(regexp_extract_all(name, '[A-Z][a-z]+')) + 3 as n from graph_node_types",
+    "t3_node_type": _T3,
     "t2_edge_type": sql("et", "select id, name as from_pascal, name as from_words, cast(null as varchar) as reason from et"),
     "t4_instance_level": "select id, name in ('Event', 'Asset', 'Activity', 'Location') as instance, false as known from graph_node_types",
     "t6_artifact": """select id, x, regexp_matches(x, '(?i)(updatenode|createorupdate)') as artifact from (select id, unnest([name, name || 'UpdateNode', 'createorupdate' || name]) as x from graph_node_types)""",
@@ -259,7 +286,7 @@ SQL = {
       ('technical_knowledge', ['python', 'react', 'api', 'database', 'framework', 'library', 'code', 'architecture']),
       ('work_context', ['project', 'task', 'deadline', 'meeting', 'team', 'milestone', 'sprint']),
       ('domain_knowledge', ['concept', 'theory', 'fact', 'research', 'trend', 'industry'])) v(slug, words))
-      select id, slug, 0.6::double as confidence from ep, kw where content is not null and len(list_filter(words, lambda w: contains(lower(content), w))) > 0"""),
+      select id, slug, 0.8::double as confidence from ep, kw where content is not null and len(list_filter(words, lambda w: contains(lower(content), w))) > 0"""),
     "t14_role_prefix": sql("ep", "select id, left(case when regexp_matches(content, '^(user|assistant):') then content else 'user: ' || content end, 40) as query from ep where content is not null"),
     "t15_sha256": sql("ep", "select id, sha256(content) as hash from ep where content is not null"),
     "t17_md5": "select id, md5(concat_ws('|', name, description)) as checksum from graph_node_types",

@@ -8,7 +8,7 @@ from .. import views as V
 from ..functions import scoring as S
 from ..functions import text as T
 from ..operators import graph as G
-from ..operators import ingest, sessions, store
+from ..operators import facts, ingest, sessions, store
 from ..runtime import cut, shared_dir, table
 from ..sources import files, snapshots
 from ..views import AS_OF, sql
@@ -78,7 +78,7 @@ def pj4_enriched(s, d):
 
 def pj5_context(s, d):
     adj = G.both_ways(V.edges(s, d)).groupBy("graph_name", "node").agg(F.sort_array(F.collect_set(F.struct("nbr"))).alias("x"))
-    n = V.nodes(s, d, "graph_name", "name").where("graph_name = 'ncx_shared__user_profile'")
+    n = V.nodes(s, d, "graph_name", "name")
     return n.join(adj.withColumnRenamed("node", "id"), ["graph_name", "id"], "left").select("id", F.coalesce(F.size("x"), F.lit(0)).cast("bigint").alias("n_neighbours"), F.try_element_at("x", F.lit(1))["nbr"].alias("first_neighbour"))
 
 
@@ -131,8 +131,8 @@ def x1_append(s, d):
 
 def x19_empty_types(s, d):
     old = F.lit("2025-07-01 00:00:00").cast("timestamp")
-    used = V.nodes(s, d, "type_id", "forgotten", "graph_name").where("not forgotten and graph_name like 'ncx_raven0%'").select("type_id")
-    return store.unused_types(V.node_types(s, d), used, [], old).select("id")
+    used = V.nodes(s, d, "type_id", "forgotten", "graph_name").where("not forgotten")
+    return store.unused_per_graph(V.node_types(s, d), used, [], old).select("graph_name", "id")
 
 
 def x21_persisted(s, d):
@@ -153,7 +153,7 @@ def x24_registry(s, d):
 def x27_signature(s, d):
     v = F.element_at("properties", "confidence")
     n = V.nodes(s, d, "properties").where(v.isNotNull())
-    return n.select("id", F.concat_ws("/", F.lit("confidence"), F.round(v.try_cast("double"), 4).cast("string")).alias("signature"))
+    return n.select("id", facts.signature(F.col("id"), F.lit("confidence"), v).alias("signature"))
 
 
 def x29_readers(s, d):
@@ -218,7 +218,7 @@ SQL = {
     "d4_running": sql("ep jb", f"select id, round((epoch_us(timestamp '{AS_OF}') - epoch_us(scheduled_at)) / 3.6e9::double, 4) as hours from jb where status = 'todo' and scheduled_at is not null"),
     "pj4_enriched": "select distinct request_id, case when force_flag then '0.9' else '0.5' end as hint, cast(len(list_filter(map_keys(metadata), lambda k: k <> 'importance_hint')) + 1 as bigint) as n_keys from ingest_requests where metadata is not null",
     "pj5_context": sql("n e", """, f as (select * from e where source_id is not null and target_id is not null), adj as (select graph_name, source_id as a, target_id as b from f union select graph_name, target_id, source_id from f)
-      select n.id, count(b) as n_neighbours, min(b) as first_neighbour from n left join adj on adj.graph_name = n.graph_name and a = n.id where n.graph_name = 'ncx_shared__user_profile' group by 1"""),
+      select n.id, count(b) as n_neighbours, min(b) as first_neighbour from n left join adj on adj.graph_name = n.graph_name and a = n.id group by 1"""),
     "g15_drift": sql("n nt", """, x as (select graph_name, list(distinct lower(nt.name)) as ts from n join nt on nt.id = n.type_id where not forgotten and graph_name is not null group by 1)
       select graph_name, cast(len(ts) as bigint) as n_types from x where len(ts) >= 3 and not list_has_any(ts, string_split(replace(regexp_extract(graph_name, '__(.*)$', 1), '_', ' '), ' '))"""),
     "q8_agent_search": sql("ep", """, x as (select id, len(list_filter(string_split_regex(lower(content), '[^a-z0-9]+'), lambda w: w in ('notebook', 'schedule')))::double as tf from ep where agent_id = 'agent_atlas' and content is not null)
@@ -231,11 +231,11 @@ SQL = {
     "x1_append": sql("ep", """, o as (select agent_id, session_id, count(*) as last from ep where batch_no < 8 and session_id is not null group by 1, 2),
       w as (select *, row_number() over (partition by agent_id, session_id order by created_at, id) as r from ep where batch_no = 8)
       select id, case when w.session_id is not null then r + coalesce(last, 0) end as session_sequence from w left join o on o.agent_id = w.agent_id and o.session_id = w.session_id"""),
-    "x19_empty_types": sql("n nt", "select id from nt where created_at < timestamp '2025-07-01' and id not in (select type_id from n where not forgotten and graph_name like 'ncx_raven0%' and type_id is not null)"),
+    "x19_empty_types": sql("n nt", ", gs as (select distinct graph_name from n where not forgotten and graph_name is not null) select graph_name, id from gs, nt where created_at < timestamp '2025-07-01' and id not in (select type_id from n where not forgotten and n.graph_name = gs.graph_name and type_id is not null)"),
     "x21_persisted": sql("n", """, c as (select distinct class_id, parent_class_id as p from ontology_classes where class_id is not null)
       select case when p in (select class_id from c) then 'payload' when p in (select lower(name) from n where name is not null) then 'graph' else 'missing' end as endpoint, count(*) as n from c where p is not null and p <> '' group by 1"""),
     "x24_registry": sql("n", ", x as (select distinct graph_name from n where graph_name is not null union select distinct 'ncx_' || trim(regexp_replace(lower(trim(regexp_replace(agent_id, '^agent_', ''))), '[^a-z0-9]+', '_', 'g'), '_') || '__personal' from ingest_requests where agent_id is not null) select graph_name, regexp_extract(graph_name, '__(.*)$', 1) as purpose from x"),
-    "x27_signature": sql("n", "select id, 'confidence/' || cast(round(cast(properties['confidence'] as double), 4) as varchar) as signature from n where properties['confidence'] is not null"),
+    "x27_signature": sql("n", "select id, sha256(id || chr(31) || 'confidence' || chr(31) || coalesce(cast(try_cast(properties['confidence'] as double) as varchar), trim(properties['confidence']))) as signature from n where properties['confidence'] is not null"),
     "x29_readers": "select distinct class_id, lower(label) as label, coalesce(parent_class_id, '') as parent from ontology_classes where label is not null",
     "x30_upserted_flag": sql("n", "select id, coalesce(created_at = updated_at, false) as is_new from n"),
     "x31_edges_by_name": sql("n", """, k as (select lower(name) as k from n where name is not null and graph_name = 'ncx_shared__work_context'), a as (select distinct id, lower(name) as a, lower(replace(name, ' ', '-')) as b from semantic_domains where name is not null),

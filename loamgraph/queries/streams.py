@@ -13,12 +13,12 @@ from ..views import sql
 # One mean per hour and kind; the stream's state holds one row per open window.
 
 
-def k1_event_windows(s, d):
+def stream_event_windows(s, d):
     out = P.run_once(P.event_windows(P.read_stream(s, d, "events")), "complete")
     return out.select(F.col("w.start").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
-def k2_sliding_windows(s, d):
+def stream_sliding_windows(s, d):
     out = P.run_once(P.sliding_windows(P.read_stream(s, d, "events")), "complete")
     return out.select(F.col("w.start").alias("start"), "n")
 
@@ -31,7 +31,7 @@ def k3_routed_stream(s, d):
     return P.run_once(classify(src)).select("id", "slug").distinct()
 
 
-def k4_user_sessions(s, d):
+def stream_user_sessions(s, d):
     """Sessions of a static table; the same expression runs on a stream."""
     e = table(s, d, "events")
     return e.groupBy(F.session_window("ts", "12 hours").alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
@@ -58,15 +58,15 @@ def k9_poll(s, d):
     return j.groupBy("task_name", "status").agg(F.count("*").alias("n"), F.max("scheduled_at").alias("newest"))
 
 
-QUERIES = {k: f for k, f in list(globals().items()) if k[0] == "k" and k[1:2].isdigit()}
+QUERIES = {k: f for k, f in list(globals().items()) if (k[0] == "k" and k[1:2].isdigit()) or k.startswith("stream_")}
 SQL = {
-    "k1_event_windows": "select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 2) as total from events group by 1, 2",
-    "k2_sliding_windows": """with x as (select ts, epoch_us(ts) // 43200000000 as half from events) select make_timestamp((half - o) * 43200000000) as start, count(*) as n from x, (select unnest([0, 1]) as o) group by 1""",
+    "stream_event_windows": "select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 2) as total from events group by 1, 2",
+    "stream_sliding_windows": """with x as (select ts, epoch_us(ts) // 43200000000 as half from events) select make_timestamp((half - o) * 43200000000) as start, count(*) as n from x, (select unnest([0, 1]) as o) group by 1""",
     "k3_routed_stream": """with kw as (select * from (values ('user_profile', ['prefer', 'goal', 'habit', 'like', 'dislike', 'want', 'value', 'opinion']),
       ('technical_knowledge', ['python', 'react', 'api', 'database', 'framework', 'library', 'code', 'architecture']),
       ('work_context', ['project', 'task', 'deadline', 'meeting', 'team', 'milestone', 'sprint']), ('domain_knowledge', ['concept', 'theory', 'fact', 'research', 'trend', 'industry'])) v(slug, words))
       select distinct request_id as id, slug from ingest_requests, kw where text is not null and len(list_filter(words, lambda w: contains(lower(text), w))) > 0""",
-    "k4_user_sessions": """with g as (select user_id, ts, coalesce(ts - lag(ts) over w >= interval 12 hours, true) as new from events window w as (partition by user_id order by ts)),
+    "stream_user_sessions": """with g as (select user_id, ts, coalesce(ts - lag(ts) over w >= interval 12 hours, true) as new from events window w as (partition by user_id order by ts)),
       s as (select *, sum(new::int) over (partition by user_id order by ts rows unbounded preceding) as nr from g) select user_id, min(ts) as start, count(*) as n from s group by user_id, nr""",
     "k5_session_numbers": sql("ep", "select id, row_number() over (partition by agent_id, session_id order by created_at, id) as session_sequence from ep where session_id is not null"),
     "k6_hash_dedup": "select distinct agent_id, sha256(text) as hash from ingest_requests where text is not null",

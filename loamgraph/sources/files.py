@@ -70,3 +70,23 @@ def write_audit(df: DataFrame, path: str) -> None:
 
 def read_audit(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
+
+
+# Accepted media types by kind, and the largest size of an upload.
+AUDIO = ["audio/mpeg", "audio/mp3", "audio/wav", "audio/x-wav", "audio/ogg", "audio/flac", "audio/mp4", "audio/webm"]
+VIDEO = ["video/mp4", "video/webm", "video/quicktime", "video/x-msvideo", "video/x-matroska", "video/mpeg", "video/ogg"]
+MAX_MEDIA = 100 * 1024 * 1024
+
+
+def media_kind(mime: Column, size: Column) -> Column:
+    """'audio', 'video', 'too large' or 'refused' for a media type, parameters and case aside, and a size in bytes; null is refused."""
+    t = F.lower(F.trim(F.substring_index(mime, ";", 1)))
+    kind = F.when(t.isin(AUDIO), "audio").when(t.isin(VIDEO), "video")
+    return F.when(kind.isNull(), "refused").when(F.coalesce(size, F.lit(0)) > MAX_MEDIA, "too large").otherwise(kind)
+
+
+def blob_path(root: str, name: Column) -> Column:
+    """The path of a media blob below root; null for names that are empty, absolute or leave the folder."""
+    parts = F.split(name, "/")
+    bad = name.isNull() | (F.trim(name) == "") | F.startswith(name, F.lit("/")) | name.contains("\\") | F.array_contains(parts, "..") | F.array_contains(parts, "")
+    return F.when(~bad, F.concat(F.lit(root.rstrip("/") + "/"), name))
