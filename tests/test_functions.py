@@ -72,7 +72,7 @@ def test_word_similarity(spark):
 
 @pytest.mark.parametrize(
     ("raw", "name", "alias"),
-    [("Fluoxetine (Prozac)", "Fluoxetine", "Prozac"), ("  apache   kafka  ", "Apache Kafka", None), ("rest api", "REST API", None), ("gRPC", "gRPC", None), ("", "", None), ("(x)", "(x)", None)],
+    [("Fluoxetine (Prozac)", "Fluoxetine", "Prozac"), ("  apache   kafka  ", "Apache Kafka", None), ("rest api", "REST API", None), ("gRPC", "gRPC", None), ("", "", None), ("(x)", "(X)", None), ("o'brien", "O'Brien", None), ("machine-learning pipeline", "Machine-Learning Pipeline", None)],
 )
 def test_canonical_name(spark, raw, name, alias):
     assert tuple(one(spark, text.canonical_name(F.lit(raw)), text.bracket_alias(F.lit(raw)))) == (name, alias)
