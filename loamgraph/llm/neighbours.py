@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from ..runtime import cut
 
-#: Bound of what the shard tree is fitted on; every vector is indexed.
-SAMPLE = 8192
+#: What the shard tree is fitted on: at least SAMPLE vectors, SAMPLE_SHARD for each shard, at most MAX_SAMPLE (67 MB). Every vector is indexed.
+SAMPLE, SAMPLE_SHARD, MAX_SAMPLE = 8192, 64, 262_144
 #: Vectors a shard may hold (64 MB of 64 floats), and levels of the shard tree from which all executors have work.
 SHARD_VECTORS, MIN_LEVELS = 250_000, 5
 LEAF = 256
@@ -190,7 +190,7 @@ class ShardTree:
         return row, who[row, at], best[row, at]
 
 
-def _search_shards(routed: DataFrame, dim: int, k: int, factor: float, min_cosine: float, home_queries: bool) -> DataFrame:
+def _search_shards(routed: DataFrame, shards: int, dim: int, k: int, factor: float, min_cosine: float, home_queries: bool) -> DataFrame:
     """(q, n, cosine) from (shard, id, vec, radius): rows with a null radius are the shard's vectors, the others its queries."""
 
     def run(t: pa.Table) -> pa.Table:
@@ -210,7 +210,8 @@ def _search_shards(routed: DataFrame, dim: int, k: int, factor: float, min_cosin
             row, at, cos = tree.search(q, qid, ids[base], k, qr, factor, min_cosine)
         return pa.table({"q": qid[row], "n": ids[base][at], "cosine": cos.astype(np.float64)})
 
-    return routed.groupBy("shard").applyInArrow(run, "q bigint, n bigint, cosine double")
+    # a partition per shard and more, so that no task takes many shards
+    return routed.repartition(2 * shards, "shard").groupBy("shard").applyInArrow(run, "q bigint, n bigint, cosine double")
 
 
 def _routed(vectors: DataFrame, heap: list, levels: int, dim: int, mode: str, reach: float) -> DataFrame:
@@ -249,7 +250,8 @@ def nearest(base: DataFrame, queries: DataFrame | None, k: int, factor: float, d
     """
     n = base.count()
     levels = max(MIN_LEVELS, math.ceil(math.log2(max(n, 1) / SHARD_VECTORS)))
-    sample = base.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vec").toArrow()["vec"]
+    size = min(MAX_SAMPLE, max(SAMPLE, SAMPLE_SHARD * 2**levels))
+    sample = base.orderBy(F.xxhash64("id"), "id").limit(size).select("vec").toArrow()["vec"]
     heap = shard_tree(_matrix(sample, dim), levels) if len(sample) else [None] * (2**levels - 1)
     home = _routed(base, heap, levels, dim, "home", 0.0)
     if min_cosine > -1:
@@ -258,14 +260,14 @@ def nearest(base: DataFrame, queries: DataFrame | None, k: int, factor: float, d
         parts = home.unionByName(_routed(asked, heap, levels, dim, "away", factor))
         if queries is not None:
             parts = parts.unionByName(_routed(asked, heap, levels, dim, "query", 0.0))
-        return _top(_search_shards(parts, dim, k, factor, min_cosine, queries is None), k)
+        return _top(_search_shards(parts, 2**levels, dim, k, factor, min_cosine, queries is None), k)
     asked = base if queries is None else queries
     first = home.unionByName(_routed(asked.select("id", "vec"), heap, levels, dim, "query", 0.0))
-    near = cut(_search_shards(first, dim, k, factor, min_cosine, False))
+    near = cut(_search_shards(first, 2**levels, dim, k, factor, min_cosine, False))
     kth = near.groupBy("q").agg(F.count("*").alias("c"), F.min("cosine").alias("m"))
     radius = F.when(F.col("c") >= k, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("m")))).otherwise(2.0)
     known = asked.select("id", "vec").join(kth.select(F.col("q").alias("id"), radius.alias("radius")), "id", "left").select("id", "vec", F.coalesce("radius", F.lit(2.0)).alias("radius"))
-    far = _search_shards(home.unionByName(_routed(known, heap, levels, dim, "away", factor)), dim, k, factor, min_cosine, False)
+    far = _search_shards(home.unionByName(_routed(known, heap, levels, dim, "away", factor)), 2**levels, dim, k, factor, min_cosine, False)
     return _top(near.unionByName(far), k)
 
 
@@ -290,7 +292,7 @@ def similar(vectors: DataFrame, k: int, factor: float, dim: int = 64, min_cosine
     # copies of the neighbours, then of the query
     hits = near.join(heads.select(F.col("rep").alias("n"), "copies"), "n", "left").select("q", F.explode(F.coalesce("copies", F.array("n"))).alias("n"), "cosine")
     own = heads.select(F.col("rep").alias("q"), F.explode("copies").alias("n"), F.lit(1.0).alias("cosine"))
-    hits = hits.unionByName(own)
+    hits = _top(hits.unionByName(own), k + 1)  # one more than asked, as each copy leaves out itself
     ids = members.select(F.col("rep").alias("q"), "id")
     hits = hits.join(ids, "q", "left").select(F.coalesce("id", "q").alias("id"), F.col("n").alias("neighbour"), "cosine").where("id <> neighbour")
     if ask is not None:

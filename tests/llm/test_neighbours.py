@@ -83,3 +83,27 @@ def test_route_sends_each_row_home_once():
     assert sorted(row[home]) == list(range(500)) and len(row) > 500 and shard.max() < 16
     everywhere = N.route(heap, 4, x, np.full(500, 2.0))
     assert len(everywhere[0]) == 500 * 16
+
+
+def test_recall_at_the_parameters_of_the_queries(spark):
+    import pyarrow.parquet as pq
+
+    from loamgraph.llm import queries as Q
+
+    d = "/root/testdata/sf0.01"
+    t = pq.read_table(f"{d}/graph_nodes.parquet", columns=["id", "embedding"]).to_pandas().dropna()
+    t = t[t["embedding"].map(lambda v: len(v) == 64 and any(v))].drop_duplicates("id").sort_values("id")
+    x, ids = np.stack(t["embedding"].to_numpy()).astype(float), t["id"].to_numpy()
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    top = np.argsort(-s, axis=1, kind="stable")[:, :10]
+    near = {tuple(sorted((int(ids[i]), int(ids[j])))) for i in range(len(ids)) for j in top[i] if s[i, j] >= 0.9}
+    got = {tuple(r) for r in Q.p2_found(spark, d).collect()}
+    assert len(got & near) >= 0.98 * len(near) and len(got) <= 1.02 * len(near)
+    asked = {int(i): set(ids[top[k]]) for k, i in enumerate(ids) if i % 20 == 0}
+    hits = {}
+    for r in Q.p2_nearest(spark, d).collect():
+        hits.setdefault(r["id"], set()).add(r["neighbour"])
+    assert hits.keys() == asked.keys() and all(len(v) == 10 for v in hits.values())
+    assert sum(len(hits[k] & v) for k, v in asked.items()) >= 0.95 * 10 * len(asked)
