@@ -20,7 +20,7 @@ def records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return H.hierarchy(records(spark, d)).select(
+    return H.hierarchy(records(spark, d), with_nodes=False).select(
         F.col("grp").alias("tree"), F.col("node").alias("node_key"), F.col("root").alias("root_key"),
         F.col("depth").alias("node_depth"), F.col("path").alias("full_path"),
     )
@@ -31,9 +31,16 @@ def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_subtrees(spark: SparkSession, d: str) -> DataFrame:
-    return H.subtree_sizes(H.hierarchy(records(spark, d))).select(
-        F.col("grp").alias("tree"), F.col("node").alias("node_key"), F.col("depth").alias("node_depth"), "subtree_size", "height"
-    )
+    """Size and height of the subtree of every record; records on or below a cycle are in no tree."""
+    rec = cut(records(spark, d))
+    peeled = H.peel(rec)
+    depth = H.hierarchy(rec, False, peeled).select("grp", "node", "depth")
+    got = depth.join(H.subtree_sizes(rec, peeled), ["grp", "node"])
+    lost = F.col("depth") < 0
+    return got.select(
+        F.col("grp").alias("tree"), F.col("node").alias("node_key"), F.col("depth").alias("node_depth"),
+        F.when(lost, 0).otherwise(F.col("subtree_size")).cast("bigint").alias("subtree_size"), F.when(lost, -1).otherwise(F.col("height")).cast("bigint").alias("height"),
+    )
 
 
 _P1 = """with recursive rec as (

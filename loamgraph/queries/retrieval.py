@@ -157,7 +157,7 @@ def q20_paths(s, d):
 
     rec = cut(records(s, d).where("grp = 'domain'"))
     kids = rec.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("n_children"))
-    placed = H.hierarchy(rec).where("depth >= 0").join(kids, "node", "left")
+    placed = H.hierarchy(rec, with_nodes=False).where("depth >= 0").join(kids, "node", "left")
     return placed.select(F.col("node").alias("node_key"), F.col("path").alias("full_path"), F.coalesce("n_children", F.lit(0)).alias("n_children"))
 
 

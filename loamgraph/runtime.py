@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -59,6 +59,13 @@ def cut(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return out
 
 
+def cut_counted(df: DataFrame, **what: Column) -> tuple[DataFrame, dict[str, int]]:
+    """As cut, with aggregates of the rows written that are taken on the way, without reading the table again."""
+    seen = Observation()
+    out = cut(df.observe(seen, *[c.alias(k) for k, c in what.items()]))
+    return out, {k: seen.get[k] or 0 for k in what}
+
+
 def numbered(df: DataFrame, order: list, out: str) -> DataFrame:
     """Adds out: 1, 2, ... in the given order, without a task that sees all rows: the sorted ranges are written and counted, then numbered each on its own."""
     parts = cut(df.orderBy(*order).withColumn("_part", F.spark_partition_id()))

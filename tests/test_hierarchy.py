@@ -57,9 +57,24 @@ def test_random_links_match_walking_up(spark, rows):
 
 
 def test_descendants_and_sizes(spark, rows):
-    placed = H.hierarchy(build(spark, [("a", None, "A", 0), ("b", "a", "B", 0), ("c", "b", "C", 0), ("d", "a", "D", 0), ("z", "z", "Z", 0)]))
+    records = build(spark, [("a", None, "A", 0), ("b", "a", "B", 0), ("c", "b", "C", 0), ("d", "a", "D", 0), ("z", "z", "Z", 0), ("y", "z", "Y", 0)])
+    placed = H.hierarchy(records)
     assert rows(H.descendants(placed), "ancestor", "descendant", "distance") == [("a", "b", 1), ("a", "c", 2), ("a", "d", 1), ("b", "c", 1)]
-    assert rows(H.subtree_sizes(placed), "node", "subtree_size", "height") == [("a", 4, 2), ("b", 2, 1), ("c", 1, 0), ("d", 1, 0), ("z", 0, -1)]
+    assert rows(H.subtree_sizes(records), "node", "subtree_size", "height") == [("a", 4, 2), ("b", 2, 1), ("c", 1, 0), ("d", 1, 0), ("y", 1, 0), ("z", 0, -1)]
+
+
+def test_sizes_of_random_trees(spark):
+    import random
+
+    rng = random.Random(4)
+    parent = {i: rng.choice([None, i - 1, rng.randrange(i)]) if i else None for i in range(400)}
+    size, height = dict.fromkeys(parent, 1), dict.fromkeys(parent, 0)
+    for i in sorted(parent, reverse=True):
+        if parent[i] is not None:
+            size[parent[i]] += size[i]
+            height[parent[i]] = max(height[parent[i]], height[i] + 1)
+    got = {int(r["node"]): (r["subtree_size"], r["height"]) for r in H.subtree_sizes(build(spark, [(str(i), None if p is None else str(p), str(i), 0) for i, p in parent.items()])).collect()}
+    assert got == {i: (size[i], height[i]) for i in parent}
 
 
 def test_clashing_columns_do_not_matter(spark, rows):
