@@ -27,12 +27,10 @@ def look_up(asked: DataFrame, names: DataFrame, threshold: float) -> DataFrame:
     return sim.where(F.col("sim") >= threshold)
 
 
-def trigram_pairs(named: DataFrame, threshold: float, group: str | None = None) -> DataFrame:
-    """(id_a, id_b, sim) with id_a < id_b and trigram similarity of at least threshold (above 0), within a group if one is named.
+def _near_names(named: DataFrame, threshold: float, group: str | None) -> tuple[DataFrame, DataFrame]:
+    """(rows, links): (id, key, grp) of the names that count, and pairs (grp, key, k2, sim) of different names, key < k2.
 
-    Two sets of similarity t share one of the ceil(|a| (1 - t)) + 1 rarest members of each, so only those are
-    joined. Equal names are one set: pairs are found between distinct names and then given to their ids.
-    Rows with a null id, name or group have no pairs; names without letters and digits pair with nothing.
+    Two sets of similarity t share one of the floor(|a| (1 - t)) + 1 rarest members of each, so only those are joined.
     """
     grp = F.lit("") if group is None else F.col(group).cast("string")
     rows = named.where("id is not null and name is not null").select("id", F.lower("name").alias("key"), grp.alias("grp")).where("grp is not null")
@@ -46,7 +44,32 @@ def trigram_pairs(named: DataFrame, threshold: float, group: str | None = None)
     cand = head.join(other, ["grp", "gram"]).where(near).select("grp", "key", "k2").distinct()
     a, b = names.select("grp", "key", F.col("g").alias("ga")), names.select("grp", F.col("key").alias("k2"), F.col("g").alias("gb"))
     close = cand.join(a, ["grp", "key"]).join(b, ["grp", "k2"]).select("grp", "key", "k2", set_similarity(F.col("ga"), F.col("gb")).alias("sim")).where(F.col("sim") >= threshold)
-    links = close.unionByName(names.select("grp", "key", F.col("key").alias("k2"), F.lit(1.0).alias("sim")))
+    return rows.join(names.select("grp", "key"), ["grp", "key"], "left_semi"), close
+
+
+def name_links(named: DataFrame, threshold: float, group: str | None = None) -> DataFrame:
+    """(id_a, id_b, sim), id_a < id_b: similar names as pairs between the smallest ids of either name, and equal names as pairs of the smallest id with each other one.
+
+    A name that n rows have gives n - 1 pairs, not all of them. Rows with a null id, name or group have no pairs; names
+    without letters and digits pair with nothing.
+    """
+    rows, close = _near_names(named, threshold, group)
+    first = rows.groupBy("grp", "key").agg(F.min("id").alias("rep"))
+    same = rows.join(first, ["grp", "key"]).where("id <> rep").select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("sim"))
+    a, b = first.withColumnRenamed("rep", "ra"), first.select("grp", F.col("key").alias("k2"), F.col("rep").alias("rb"))
+    near = close.join(a, ["grp", "key"]).join(b, ["grp", "k2"]).select(F.least("ra", "rb").alias("id_a"), F.greatest("ra", "rb").alias("id_b"), "sim")
+    return near.unionByName(same)
+
+
+def trigram_pairs(named: DataFrame, threshold: float, group: str | None = None) -> DataFrame:
+    """(id_a, id_b, sim) with id_a < id_b and trigram similarity of at least threshold (above 0), within a group if one is named.
+
+    All pairs of ids, those of equal names too: for short lists, such as types; name_links is for tables. Rows with a null
+    id, name or group have no pairs; names without letters and digits pair with nothing.
+    """
+    rows, close = _near_names(named, threshold, group)
+    keys = rows.select("grp", "key").distinct()
+    links = close.unionByName(keys.select("grp", "key", F.col("key").alias("k2"), F.lit(1.0).alias("sim")))
     left, right = rows.select("grp", F.col("id").alias("ia"), "key"), rows.select("grp", F.col("id").alias("ib"), F.col("key").alias("k2"))
     both = links.join(left, ["grp", "key"]).join(right, ["grp", "k2"]).where((F.col("key") != F.col("k2")) | (F.col("ia") < F.col("ib")))
     return both.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"), "sim").where("id_a <> id_b")

@@ -70,9 +70,9 @@ def j7_unused(s, d):
 
 
 def j8_similar_names(s, d):
-    """Similar names within a graph, over all graphs."""
+    """Similar names within a graph, over all graphs: pairs between the first nodes of two names, and of a name's first node with its others."""
     n = V.nodes(s, d, "graph_name", "name", "forgotten").where("not forgotten")
-    return pairs.trigram_pairs(n.select("id", "name", "graph_name"), 0.6, "graph_name").select("id_a", "id_b", F.round("sim", 6).alias("sim"))
+    return pairs.name_links(n.select("id", "name", "graph_name"), 0.6, "graph_name").select("id_a", "id_b", F.round("sim", 6).alias("sim"))
 
 
 def j9_prefix_pairs(s, d):
@@ -302,8 +302,9 @@ SQL = {
     "j5_usage": sql("n nt", "select nt.name, count(n.id) as n_nodes from nt left join n on n.type_id = nt.id group by nt.id, nt.name"),
     "j6_live_usage": sql("n nt", "select nt.name, count(n.id) as n_live from nt left join n on n.type_id = nt.id and not n.forgotten group by nt.id, nt.name"),
     "j7_unused": sql("e et", ", gs as (select distinct graph_name from e where graph_name is not null), x as (select distinct graph_name, type_id from e) select gs.graph_name, et.id as type_id, et.name from gs cross join et left join x on x.type_id = et.id and x.graph_name = gs.graph_name where x.type_id is null"),
-    "j8_similar_names": sql("n", f""", x as (select id, name, graph_name from n where not forgotten and name is not null),
-      p as (select a.id as id_a, b.id as id_b, {tri_sim('a.name', 'b.name')} as s from x a join x b on a.graph_name = b.graph_name and a.id < b.id) select id_a, id_b, round(s, 6) as sim from p where s >= 0.6"""),
+    "j8_similar_names": sql("n", f""", x as (select id, lower(name) as k, graph_name from n where not forgotten and name is not null and graph_name is not null and regexp_matches(name, '[\\p{{L}}\\p{{N}}]')),
+      r as (select graph_name, k, min(id) as id from x group by 1, 2), p as (select least(a.id, b.id) as id_a, greatest(a.id, b.id) as id_b, {tri_sim('a.k', 'b.k')} as s from r a join r b on a.graph_name = b.graph_name and a.k < b.k)
+      select id_a, id_b, round(s, 6) as sim from p where s >= 0.6 union all select r.id, x.id, 1.0 from x join r using (graph_name, k) where x.id <> r.id"""),
     "j9_prefix_pairs": sql("et", "select a.name, b.name as name2 from et a join et b on left(a.name, 4) = left(b.name, 4) and a.id < b.id"),
     "j10_cross_graph": sql("n", """, x as (select lower(name) as key, graph_name, count(*) as n from n where not forgotten and name is not null and graph_name is not null group by 1, 2)
       select a.key, a.graph_name as graph_a, b.graph_name as graph_b, a.n as n_a, b.n as n_b from x a join x b on a.key = b.key and a.graph_name < b.graph_name"""),

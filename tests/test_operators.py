@@ -54,6 +54,10 @@ def test_trigram_pairs_find_what_brute_force_finds(spark, rows):
     for t in (0.3, 0.6, 0.9):
         want = a.crossJoin(b).where("a < b and na is not null and nb is not null").withColumn("s", trigram_similarity(F.col("na"), F.col("nb"))).where(F.col("s") >= t)
         assert rows(pairs.trigram_pairs(df, t), "id_a", "id_b") == rows(want, "a", "b")
+    links = rows(pairs.name_links(df, 0.9), "id_a", "id_b", "sim")
+    assert (0, 1, 1.0) in links and (9, 11, 1.0) in links and len(links) == len(set(links)) and all(a < b for a, b, _ in links)
+    many = spark.range(200).selectExpr("id", "case when id < 150 then 'Apache Kafka' else 'Apache Kafkas' end as name")
+    assert pairs.name_links(many, 0.6).count() == 149 + 49 + 1
 
 
 def test_ingest_dedup(spark, rows):
