@@ -47,7 +47,8 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, bl
     """(slot, source, block, epoch, doc_id, tokens): the documents of the mix; order by slot, epoch and start.
 
     docs: (source, doc_id, tokens) with one row per document; null or non-positive sizes take no part. No
-    document occurs more than max_repeats times. A source takes the documents of which at least half lies within its quota.
+    document occurs more than max_repeats times. A source takes the documents of which at least half lies within its quota;
+    where a large one at the border leaves a gap, documents behind it that fit fill the gap.
     """
     plan = cut(quotas(docs, targets, total_tokens).where("quota > 0"))
     # the plan has one row per target source, a short fixed list
@@ -61,7 +62,13 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, bl
     placed = with_running_sum(passes, ["source", "epoch"], "part", ["h", "doc_id"], "tokens", "before").withColumn(
         "start", F.col("before") + F.col("epoch") * F.col("available")
     )
-    placed = placed.where("start + tokens / 2 < quota").withColumn("block", F.floor(F.col("start") / block_tokens).cast("bigint"))
+    placed = cut(placed)
+    inside = F.col("start") + F.col("tokens") / 2 < F.col("quota")
+    used = placed.where(inside).groupBy("source").agg(F.sum("tokens").alias("used"))  # one row per target source
+    rest = placed.where(~inside).drop("before", "start").join(F.broadcast(used), "source").where("tokens <= quota - used")
+    more = with_running_sum(rest, ["source"], "part", ["h", "doc_id"], "tokens", "before").where("before + tokens <= quota - used")
+    more = more.withColumn("start", F.col("used") + F.col("before")).select(*placed.columns)
+    placed = placed.where(inside).unionByName(more).withColumn("block", F.floor(F.col("start") / block_tokens).cast("bigint"))
     rows = plan.select("source", "quota").orderBy("source").collect()  # one per target source
     size = sum(r["quota"] for r in rows)
     slots = max(1, -(-size // block_tokens)) + 2 * len(rows)
@@ -82,16 +89,20 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, bl
 
 
 def share_report(docs: DataFrame, targets: DataFrame, mixed: DataFrame, total_tokens: int | None = None) -> DataFrame:
-    """Per target source: target and actual share, tokens, documents, most uses of a document, and whether the share is met.
+    """Per target source: target, attainable and actual share, tokens, documents, most uses of a document, and whether the share is met.
 
-    Met means within MET of the target share itself. A source without documents, or with too few at max_repeats, is not met.
+    The attainable share is the target among the sources that have documents to give, 0 for the others. Met means that the
+    actual share is within MET of it; a source without documents, or with too few at max_repeats, is not met.
     """
     use = mixed.groupBy("source", "doc_id").agg(F.count("*").alias("uses"), F.sum("tokens").alias("tokens"))
     per = use.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n_docs"), F.max("uses").alias("most_uses"))
     plan = quotas(docs, targets, total_tokens).select("source", "target_share", "max_repeats", "available")
     out = plan.join(per, "source", "left").na.fill(0, ["tokens", "n_docs", "most_uses"])
-    actual = F.coalesce(F.col("tokens") / F.nullif(F.sum("tokens").over(Window.partitionBy()), F.lit(0)), F.lit(0.0))
+    all_ = Window.partitionBy()  # a row per target source
+    actual = F.coalesce(F.col("tokens") / F.nullif(F.sum("tokens").over(all_), F.lit(0)), F.lit(0.0))
+    gives = F.when((F.col("available") > 0) & (F.col("max_repeats") > 0), F.col("target_share")).otherwise(0.0)
+    attainable = F.coalesce(F.try_divide(gives, F.sum(gives).over(all_)), F.lit(0.0))
     return out.select(
-        "source", F.round("target_share", 6).alias("target_share"), F.round(actual, 6).alias("actual_share"), "tokens", "available", "n_docs", "most_uses", "max_repeats",
-        (F.abs(actual - F.col("target_share")) <= MET * F.col("target_share")).alias("met"),
+        "source", F.round("target_share", 6).alias("target_share"), F.round(attainable, 6).alias("attainable_share"), F.round(actual, 6).alias("actual_share"), "tokens", "available", "n_docs", "most_uses", "max_repeats",
+        ((attainable > 0) & (F.abs(actual - attainable) <= MET * attainable)).alias("met"),
     )

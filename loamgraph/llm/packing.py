@@ -67,7 +67,7 @@ def _grouped(items: DataFrame, rule: str, tag: str) -> DataFrame:
     return spread.groupBy("kind", "grp").applyInPandas(lambda pdf: _pack(pdf, rule, tag), _SCHEMA)
 
 
-def pack(items: DataFrame, containers: DataFrame, rule: str = "norm", items_per_token: float = 1 / 64, attention_share: float = 0.9) -> DataFrame:
+def pack(items: DataFrame, containers: DataFrame, rule: str = "norm", items_per_token: float = 1 / 16, attention_share: float = 0.9) -> DataFrame:
     """(kind, container, item_id, piece, tokens, capacity, used): every item in one container of every kind.
 
     items: (item_id, tokens), one row per item; a null or negative size counts as 0, null ids are left out.

@@ -48,3 +48,11 @@ def test_running_sum_equals_one_window(spark):
         for i in range(g, 500, 2):
             assert got[i] == run
             run += i % 7
+
+
+def test_a_large_document_at_the_border_leaves_no_gap(spark):
+    docs = [("a", i, 10) for i in range(200)] + [("b", 1000 + i, 400 if i % 7 == 0 else 3) for i in range(300)]
+    d, t = setup(spark, docs, [("a", 0.5, 1), ("b", 0.5, 1)])
+    for total in (2000, 2600, 3000):
+        rep = {r["source"]: r for r in M.share_report(d, t, M.mix(d, t, total, 50), total).collect()}
+        assert abs(rep["b"]["tokens"] - total / 2) <= 200 and rep["b"]["most_uses"] == 1
