@@ -48,7 +48,9 @@ def health(spark: SparkSession, tables: list[str]) -> DataFrame:
     out = []
     for t in tables:
         try:
-            out.append((t, bool(spark.read.parquet(t).columns)))
+            p = spark._jvm.org.apache.hadoop.fs.Path(t)
+            there = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+            out.append((t, bool(there and spark.read.parquet(t).columns)))
         except Exception:  # noqa: BLE001 - any failure means the table cannot be read
             out.append((t, False))
     return spark.createDataFrame(out, "table string, readable boolean")
